@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evidloom.llm.bpe_codec import encode_documents
 from evidloom.llm.common import table
 from evidloom.llm.suffix_dedup import remove_repeats
+from evidloom.llm import toxicity
 from evidloom.llm.token_counts import count_tokens
 
 
@@ -24,6 +26,13 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), ids=False)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold != 0)
+    scored = toxicity.score(docs.select("doc_id", "text"), model, name="score")
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f) and k[2].isdigit()}
 

@@ -76,28 +76,40 @@ class Codec:
         self.letters = {b: c for b, c in enumerate(letters)}
         self.cutter, self.known = Cutter(pattern), {}
 
-    def _encode(self, text: str) -> bytes:
-        pieces = [t.encode().decode("latin-1").translate(self.letters) for t in self.cutter.cut(text)]
-        return np.array([i for ids in self.sp.encode(pieces, out_type=int, num_threads=1) for i in ids], "<u4").tobytes() if pieces else b""
-
-    def encode(self, text: str) -> bytes:
-        alone, chunks = self.cutter.chunks(text)
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; the library is called once for all of their pre-tokens."""
+        cuts = [self.cutter.cut(t) for t in texts]
+        pieces = [p.encode().decode("latin-1").translate(self.letters) for cut in cuts for p in cut]
+        found = iter(self.sp.encode(pieces, out_type=int, num_threads=1) if pieces else [])
+        return [np.fromiter((i for _ in cut for i in next(found)), "<u4").tobytes() for cut in cuts]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; each chunk that no text had before is encoded once."""
         known = self.known
-        try:
-            tail = b"".join([known[c] for c in chunks])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for c in chunks:
-                if c not in known:
-                    known[c] = self._encode(" " + c)
-            tail = b"".join([known[c] for c in chunks])
-        return b"".join(map(self._encode, alone)) + tail
+        if len(known) > REMEMBERED:
+            known.clear()
+        parts = [self.cutter.chunks(t) for t in texts]
+        new = list({c for _, chunks in parts for c in chunks if c not in known})
+        known.update(zip(new, self._encode([" " + c for c in new]), strict=True))
+        alone = iter(self._encode([a for first, _ in parts for a in first]))
+        return [b"".join([*(next(alone) for _ in first), *(known[c] for c in chunks)]) for first, chunks in parts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+#: A worker's codec, kept from task to task with what it knows.
+_CODEC: dict[tuple[int, str], Codec] = {}
+
+
+def _codec(model: bytes, pattern: str) -> Codec:
+    key = hash(model), pattern
+    if key not in _CODEC:
+        _CODEC.clear()
+        _CODEC[key] = Codec(model, pattern)
+    return _CODEC[key]
+
+
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None, ids: bool = True) -> DataFrame:
     """Each row's id, ``ids`` (array of int, unless left out), ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``.
 
@@ -110,11 +122,11 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pattern = pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model.value, pattern)
+        codec = _codec(model.value, pattern)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):  # few texts at a time: ids take more room than text
                 part = batch.slice(lo, 256)
-                got = [codec.encode(t.as_py() or "") for t in part.column(1)]
+                got = codec.encode([t or "" for t in part.column(1).to_pylist()])
                 columns = [
                     part.column(0),
                     pa.array([len(x) // 4 for x in got], pa.int64()),

@@ -11,7 +11,7 @@ import regex
 #: A space with white space beside it, where chunks depend on each other.
 MEETING = regex.compile(r" \s|\s ")
 #: Distinct chunks a task remembers; above, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 class Cutter:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evidloom.llm.bpe_codec import encode_documents
 from evidloom.llm.common import table
 from evidloom.llm.suffix_dedup import remove_repeats
-from evidloom.llm import secrets, toxicity
+from evidloom.llm import quality_rules, secrets, toxicity
 from evidloom.llm.token_counts import count_tokens
 
 
@@ -18,6 +18,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -42,4 +46,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": quality_rules.ORACLE}

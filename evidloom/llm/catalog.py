@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evidloom.llm.bpe_codec import encode_documents
 from evidloom.llm.common import table
 from evidloom.llm.suffix_dedup import remove_repeats
-from evidloom.llm import quality_rules, secrets, toxicity
+from evidloom.llm import mixing, quality_rules, secrets, toxicity
 from evidloom.llm.token_counts import count_tokens
 
 
@@ -22,6 +22,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidloom.llm import jaccard_join, mixing, quality_rules, secrets, toxicity
 from evidloom.llm.bpe_codec import encode_documents
 from evidloom.llm.common import table
 from evidloom.llm.suffix_dedup import remove_repeats
-from evidloom.llm import mixing, quality_rules, secrets, toxicity
 from evidloom.llm.token_counts import count_tokens
 
 
@@ -30,6 +30,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm import jaccard_join, mixing, quality_rules, secrets, toxicity
+from evidloom.llm import jaccard_join, mixing, nearest, quality_rules, secrets, toxicity
 from evidloom.llm.bpe_codec import encode_documents
-from evidloom.llm.common import table
+from evidloom.llm.common import table, written
 from evidloom.llm.suffix_dedup import remove_repeats
 from evidloom.llm.token_counts import count_tokens
 
@@ -49,6 +49,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.search(written(nearest.index(vectors)), vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f) and k[2].isdigit()}
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm import jaccard_join, mixing, nearest, quality_rules, secrets, toxicity
+from evidloom.llm import chat_format, jaccard_join, mixing, nearest, quality_rules, secrets, toxicity
 from evidloom.llm.bpe_codec import encode_documents
 from evidloom.llm.common import table, written
 from evidloom.llm.suffix_dedup import remove_repeats
@@ -34,6 +34,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_format.perspectives(table(spark, sf_dir, "conversations"))
+    return rows.withColumn("mask", chat_format.listed(F.col("mask")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -59,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.ORACLE}
+    return {"op2_quality_rules": quality_rules.ORACLE, "op6_chat_format": chat_format.ORACLE}

@@ -202,6 +202,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return each.select("row.*", F.col("x.shard").alias(shard), F.xxhash64(F.lit(seed + 2), "x.shard", "x.pass", "own_key").alias(place))
 
 
-def shuffled(mix: DataFrame, shard: str = "shard", place: str = "place", shards: int = SHARDS) -> DataFrame:
-    """A range of places of one shard in each partition, in order of place."""
-    return mix.repartitionByRange(shards, shard, place).sortWithinPartitions(shard, place)
+def shuffled(mix: DataFrame, shard: str = "shard", place: str = "place", partitions: int | None = None) -> DataFrame:
+    """A range of places of one shard or a few in each partition, in order of place; the session sets how many there are."""
+    ranged = mix.repartitionByRange(partitions, shard, place) if partitions else mix.repartitionByRange(shard, place)
+    return ranged.sortWithinPartitions(shard, place)

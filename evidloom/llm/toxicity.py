@@ -173,12 +173,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     At most ``TOXIC_TEXTS`` and ``ORDINARY_TEXTS`` distinct texts, the first by a hash of the text, each of at most
     ``LONGEST`` bytes; rows without a label or text are left out.
     """
-    own = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).filter(F.octet_length("t") <= LONGEST)
+    own = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).filter(F.octet_length("t") <= LONGEST).withColumn("h", F.xxhash64("t"))
     marked = labels.filter(learn).select(F.col(id_col).alias("k"), F.col(label_col).alias("y")).filter("y in (0, 1)").distinct()
 
     def sample(y: int, most: int) -> list[str]:
-        found = own.join(marked.filter(F.col("y") == y), "k", "left_semi").select("t", F.xxhash64("t").alias("h")).orderBy("h", "t").limit(most)
-        return list(dict.fromkeys(r.t for r in found.select("t").toLocalIterator()))
+        # Only hashes meet the labels; the chosen ones, a bounded number, are then sought among the texts.
+        chosen = [r.h for r in own.select("k", "h").join(marked.filter(F.col("y") == y), "k", "left_semi").select("h").distinct().orderBy("h").limit(most).collect()]
+        if not chosen:
+            return []
+        wanted = docs.sparkSession.createDataFrame([(h,) for h in chosen], "h bigint")
+        return [r.t for r in sorted(own.select("h", "t").join(F.broadcast(wanted), "h").groupBy("h").agg(F.min("t").alias("t")).collect(), key=lambda r: r.h)]
 
     return fit(sample(1, TOXIC_TEXTS), sample(0, ORDINARY_TEXTS))
 

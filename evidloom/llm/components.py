@@ -33,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     Vertices without an edge to another are left out.
     """
     now, seen = written(edges.select("u", "v").filter("u <> v").distinct()), None
-    while True:
+    while True:  # ends when a round changes nothing
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             return now.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("vertex"), F.col("v").alias("component"))).distinct()

@@ -6,11 +6,11 @@ Two sets of similarity t share a shingle among the first ``n - ceil(t n) + 1`` o
 shared shingle there are looked at; shingles of one class are never sent on.
 
 Classes with identical prefixes and size are one group. A list of groups stands under each prefix shingle. Links
-come in rounds: in each, a member is verified against few others of its lists (first the smallest group, then some
-by hash), never all; after each, components are taken, and a list whose members are in one component is done. What
-lists are left with members in several components are compared in full, but for pairs that sizes, places in the
-prefix or an equal component rule out. So every link between different components is found, and a group of
-copies costs a few pairs for each copy.
+come in rounds: in each, a member is verified against few others of its lists (those with the fewest shingles of
+their own, some by hash), never all; after each, components are taken, and a list whose members are in one component
+is done. What lists are left with members in several components are compared in full, but for pairs that sizes,
+places in the prefix or an equal component rule out. So every link between different components is found, and a
+group of copies costs a few pairs for each copy.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from evidloom.llm.shingles import shingle_sets, signature
 
 PERCENT = 80
 #: Partners for each member in each round before what is left is compared in full.
-ROUNDS = (4, 8)
+ROUNDS = (6,)
 ROUTED = "block int, bucket int, keys binary, counts binary"
 SETS = "vid bigint, n int, unique int, k1 bigint, k2 bigint, k int, tokens array<bigint>"
 
@@ -163,14 +163,15 @@ def links(sets: DataFrame, percent: int, rounds: tuple[int, ...] = ROUNDS) -> Da
     leaders = members.filter("vid = gid").select("vid", "members")
     prefixes = sets.join(leaders, "vid").select(F.col("vid").alias("gid"), "n", "unique", "members", F.posexplode(F.slice("tokens", F.lit(1), F.col("k"))).alias("p", "token"))
     lists = written(prefixes.select("token", "gid", "n", "members", (F.col("unique") + F.col("p")).alias("pos")))
-    tokens = lists.groupBy("token").agg(F.sum("members").alias("all"), F.min("gid").alias("v"), F.min_by("n", "gid").alias("n_v"), F.min_by("pos", "gid").alias("pos_v")).filter("all > 1")
-    # Round one: each group against one earlier group of its lists, each member against its group's first.
-    met = lists.join(tokens, "token").filter(F.col("gid") > F.col("v"))
+    tokens = lists.groupBy("token").agg(F.sum("members").alias("all"), F.min_by(F.struct("gid", "n", "pos"), _few_own("pos", "gid", 0)).alias("y")).filter("all > 1")
+    tokens = tokens.select("token", F.col("y.gid").alias("v"), F.col("y.n").alias("n_v"), F.col("y.pos").alias("pos_v"))
+    # Round one: each group against that of its lists with the fewest shingles of its own, each member against its group's first.
+    met = lists.join(tokens, "token").filter(F.col("gid") != F.col("v"))
     here, there = ({"n": F.col("n"), "pos": F.col("pos")}, {"n": F.col("n_v"), "pos": F.col("pos_v")})
-    leads = met.filter(_sizes_agree(F.col("n"), F.col("n_v"), percent) & _places_agree(here, there, percent)).groupBy(F.col("gid").alias("u")).agg(F.min("v").alias("v"))
+    leads = met.filter(_sizes_agree(F.col("n"), F.col("n_v"), percent) & _places_agree(here, there, percent)).groupBy(F.col("gid").alias("u")).agg(F.min_by("v", _few_own("pos_v", "v", 0)).alias("v"))
     within = members.filter("vid <> gid").select(F.col("vid").alias("u"), F.col("gid").alias("v"))
     edges = written(verified(leads.unionByName(within), sets, percent))
-    component = components(edges)
+    component = written(components(edges))
     alive = lists.join(tokens.select("token"), "token")
     for many in (*rounds, None):
         of = written(members.join(component.withColumnRenamed("vertex", "vid"), "vid", "left").select("vid", "gid", "n", F.coalesce("component", "vid").alias("c")))
@@ -181,16 +182,26 @@ def links(sets: DataFrame, percent: int, rounds: tuple[int, ...] = ROUNDS) -> Da
             break
         entries = alive.select("token", "gid", "pos").join(of, "gid").select("token", "vid", "n", "pos", "c")
         pairs = _some(entries, many, percent) if many else _all(written(entries), percent)
-        edges = written(edges.unionByName(verified(written(pairs), sets, percent)))
-        component = components(edges)
+        edges = written(verified(written(pairs), sets, percent))
+        if not edges.isEmpty():
+            known = component.select(F.col("vertex").alias("u"), F.col("component").alias("v"))
+            component = written(components(known.unionByName(edges)))
     return component
 
 
+def _few_own(pos: str, vid: str, seed: int) -> Column:
+    """Orders by place, so by how many shingles a set has before the shared one; ties by hash."""
+    return F.shiftleft(F.col(pos).cast("bigint"), 32) + F.pmod(F.xxhash64(F.lit(seed), F.col(vid)), F.lit(1 << 32))
+
+
 def _some(entries: DataFrame, many: int, percent: int) -> DataFrame:
-    """For each member at most ``many`` partners of other components, picked by hash in its lists."""
+    """For each member at most ``many`` partners of other components in its lists: half with few shingles of their own, half by hash.
+
+    Copies of one text with changes of their own are all nearest to the ones with the fewest changes.
+    """
     seeds = range(many)
     fields = F.struct(F.col("vid"), F.col("n"), F.col("pos"), F.col("c"))
-    picks = entries.groupBy("token").agg(F.array(*(F.min_by(fields, F.xxhash64(F.lit(many * 100 + i), F.col("vid"))) for i in seeds)).alias("picks"))
+    picks = entries.groupBy("token").agg(F.array(*(F.min_by(fields, F.xxhash64(F.lit(many * 100 + i), F.col("vid")) if i % 2 else _few_own("pos", "vid", many * 100 + i)) for i in seeds)).alias("picks"))
     met = entries.join(picks, "token").select("vid", "n", "pos", "c", F.posexplode("picks").alias("i", "y"))
     x, y = {"n": F.col("n"), "pos": F.col("pos")}, {"n": F.col("y.n"), "pos": F.col("y.pos")}
     fit = met.filter((F.col("c") != F.col("y.c")) & _sizes_agree(x["n"], y["n"], percent) & _places_agree(x, y, percent))
@@ -199,15 +210,17 @@ def _some(entries: DataFrame, many: int, percent: int) -> DataFrame:
 
 
 def _all(entries: DataFrame, percent: int) -> DataFrame:
-    """All pairs of members of different components that share a list, as far as sizes and places allow."""
-    kinds = entries.groupBy("token", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = kinds.select("token", F.col("c").alias("d"), F.col("lo").alias("lo_d"), F.col("hi").alias("hi_d"))
-    fit = (100 * F.col("hi_d") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("lo_d"))
-    two = kinds.join(other, "token").filter((F.col("c") < F.col("d")) & fit).select("token", "c", "d")
-    right = entries.select("token", F.col("c").alias("d"), F.col("vid").alias("v"), F.col("n").alias("n_v"), F.col("pos").alias("pos_v"))
-    met = two.join(entries, ["token", "c"]).join(right, ["token", "d"])
+    """All pairs of members of different components that share a list, as far as sizes and places allow.
+
+    A list's largest component is only met by the members of others, never by itself.
+    """
+    largest = entries.groupBy("token", "c").agg(F.count(F.lit(1)).alias("many")).groupBy("token").agg(F.max_by("c", "many").alias("largest"))
+    left = entries.join(largest, "token").filter("c <> largest")
+    right = entries.select(F.col("token").alias("same"), F.col("vid").alias("v"), F.col("n").alias("n_v"), F.col("pos").alias("pos_v"), F.col("c").alias("d"))
     x, y = {"n": F.col("n"), "pos": F.col("pos")}, {"n": F.col("n_v"), "pos": F.col("pos_v")}
-    return met.filter(_sizes_agree(x["n"], y["n"], percent) & _places_agree(x, y, percent)).select(F.greatest("vid", "v").alias("u"), F.least("vid", "v").alias("v")).distinct()
+    once = (F.col("d") == F.col("largest")) | (F.col("vid") < F.col("v"))
+    met = left.join(right, (F.col("token") == F.col("same")) & (F.col("c") != F.col("d")) & once & _sizes_agree(x["n"], y["n"], percent) & _places_agree(x, y, percent))
+    return met.select(F.greatest("vid", "v").alias("u"), F.least("vid", "v").alias("v")).distinct()
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:

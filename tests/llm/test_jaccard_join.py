@@ -73,7 +73,7 @@ def chains(rng, n):
     return [(i, " ".join(w)) for i, w in enumerate(docs)]
 
 
-@pytest.mark.parametrize("rounds", [(4, 8), ()])
+@pytest.mark.parametrize("rounds", [(2, 3), ()])
 def test_chains(spark, rounds, monkeypatch):
     docs = chains(random.Random(3), 40)
     monkeypatch.setattr(jaccard_join.links, "__defaults__", (rounds,))

@@ -6,10 +6,15 @@ that the rule rejects more than its share of good texts: with k of n rejected, t
 most k. Hypotheses are rejected at ``delta`` over the number of tests (Bonferroni), and the lowest certified cutoff
 is used. So with probability ``1 - delta`` no stratum loses more than ``alpha`` of its good texts to all rules
 together; where labels are too few to show that, there is no rule. Only DataFrame functions are used.
+
+``path_cutoffs`` spends the same ``alpha`` and ``delta`` on one nested path instead: all measures share a cutoff that
+falls along the grid, and each step tests the joint rule at the whole ``alpha`` until one fails.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,15 +104,35 @@ def cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA, grid: t
     return tests.groupBy("stratum").agg(*(F.min(F.when((F.col("measure") == m) & certified, F.col("cutoff"))).alias(f"{m}_cutoff") for m in MEASURES))
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def path_cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA, grid: tuple[int, ...] = GRID) -> DataFrame:
+    """As ``cutoffs``, certified along one path: the same cutoff for all measures, or null for all.
+
+    A stratum has ``delta`` over the number of strata. Its steps go from the highest cutoff down, each tests that all
+    measures together reject more than ``alpha`` of good texts, and the first one not refuted ends the path, so no
+    step costs another.
+    """
+    over = F.greatest(*MEASURES)
+    sums = [F.sum((over > c).cast("bigint")).alias(f"k_{c}") for c in grid]
+    counts = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums)
+    strata = counts.agg(F.count(F.lit(1)).alias("strata"))
+    steps = counts.crossJoin(F.broadcast(strata))  # one row
+    at_level = lambda k: (k < F.col("n") * alpha) & (binomial_tail(k, F.col("n"), alpha) <= F.log(F.lit(delta) / F.col("strata")))
+    lowest = F.lit(None).cast("int")
+    for c in sorted(grid):  # the innermost step is the last of the path
+        lowest = F.when(at_level(F.col(f"k_{c}")), F.coalesce(lowest, F.lit(c)))
+    return steps.select("stratum", lowest.alias("cutoff")).select("stratum", *(F.col("cutoff").alias(f"{m}_cutoff") for m in MEASURES))
+
+
+def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA, certify: Callable[..., DataFrame] = cutoffs) -> DataFrame:
     """Per row of ``docs``: the base counts, ``base_failed``, ``kept`` and the measures.
 
     Good texts are rows whose id all labels call 1; ids without labels, and null ids, teach nothing. Without labels
     only the base decides. Each row has its own verdict, copies and repeated ids too; other columns are left out.
+    ``certify`` is ``cutoffs``, which the SQL states, or ``path_cutoffs``, which needs far fewer labels.
     """
     rows = written(measured(docs, id_col, text_col, stratum_col))
     good = labels.groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).alias("y")).filter("y = 1")
-    rules = cutoffs(rows.join(good, "doc_id", "left_semi"), alpha, delta)
+    rules = certify(rows.join(good, "doc_id", "left_semi"), alpha, delta)
     judged = rows.join(rules, "stratum", "left")
     over = F.coalesce(*(F.when(F.col(m) > F.col(f"{m}_cutoff"), True) for m in MEASURES), F.lit(False))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~over).alias("kept"))

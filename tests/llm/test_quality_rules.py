@@ -47,3 +47,21 @@ def test_rules_need_evidence(spark):
     assert loose.filter("doc_id < 900").filter(~F.col("base_failed") & ~F.col("kept")).count() == 0
     assert quality_rules.apply_rules(docs.limit(0), labels.limit(0)).collect() == []
     assert quality_rules.apply_rules(docs, labels.limit(0)).count() == len(rows)
+
+
+def test_path_certifies_from_few_labels(spark):
+    def made(i, extra=""):
+        return " ".join(f"w{(i * 37 + j * 11) % 997}" for j in range(60)) + extra
+
+    junk = " " + " ".join(f"#%${j}" for j in range(60))
+    rows = [(i, made(i), "en") for i in range(250)] + [(1000 + i, made(i, junk), "en") for i in range(8)]
+    rows += [(2000 + i, made(i), "de") for i in range(20)] + [(3000 + i, made(i, junk), "de") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, _, _ in rows if i < 250 or 2000 <= i < 2020], "doc_id long, quality int")
+    spent = quality_rules.apply_rules(docs, labels)
+    assert spent.filter(~F.col("base_failed") & ~F.col("kept")).count() == 0
+    path = quality_rules.apply_rules(docs, labels, certify=quality_rules.path_cutoffs)
+    # 250 good labels certify at 0.05 / 2 strata, 20 don't
+    assert {r.doc_id for r in path.filter(~F.col("base_failed") & ~F.col("kept")).collect()} == set(range(1000, 1008))
+    good = quality_rules.measured(docs.filter("doc_id < 250 or doc_id between 2000 and 2019"))
+    assert {r.stratum: r.symbols_cutoff for r in quality_rules.path_cutoffs(good).collect()} == {"en": 10, "de": None}

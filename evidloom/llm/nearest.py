@@ -48,7 +48,7 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         cut = np.searchsorted(of.ravel()[by], np.arange(len(distinct) + 1))
         ids = ids[by]
         mix = np.random.Generator(np.random.PCG64(5)).permutation(len(distinct))
-        near = build(distinct[mix].astype(np.float32))
+        near = build(distinct[mix])
         lists = [ids[cut[i] : min(cut[i + 1], cut[i] + k + 1)] for i in mix.tolist()]
         n = len(mix)
         return pa.table([pa.array([dim] * n, pa.int32()), pa.array([key[1].as_py()] * n, pa.int32()), pa.array(np.arange(n), pa.int32()), pa.array(list(distinct[mix]), values), pa.array(lists, pa.list_(pa.int64())), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], ["dim", "shard", "node", "embedding", "ids", "near"])
@@ -78,7 +78,7 @@ def search(graphs: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
             exact, q = _matrix(nodes.column("embedding"), dim).astype(np.float64), _matrix(asked.column("q"), dim).astype(np.float64)
             near = nodes.column("near").combine_chunks().flatten().to_numpy().reshape(len(exact), -1)
             ids = nodes.column("ids").to_pylist()
-            found, _ = beam_search(exact.astype(np.float32), near, q.astype(np.float32), entry_points(len(exact), beam), beam)
+            found, _ = beam_search(exact, near, q, entry_points(len(exact), beam), beam)
             for i, own in enumerate(asked.column("query_id").to_pylist()):
                 at = found[i][found[i] >= 0]
                 d = np.sqrt(((exact[at] - q[i]) ** 2).sum(axis=1)).tolist()

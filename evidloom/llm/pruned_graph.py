@@ -2,6 +2,8 @@
 
 Nodes join in rounds that double. Those of a round search the graph so far together, step by step on whole arrays;
 each keeps the neighbours that no kept one is clearly nearer to, and offers itself to them in turn.
+
+Distances come from differences in double precision, so near copies far from the origin keep their order.
 """
 
 from __future__ import annotations
@@ -11,21 +13,25 @@ import numpy as np
 DEGREE, BUILD_BEAM, RELAXED, TOGETHER, STARTS = 24, 40, 1.2, 512, 16
 
 
+def squares(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared distances of each row of ``v`` (one list of vectors for each query) to its query."""
+    d = np.subtract(v, q[:, None, :], dtype=np.float64)
+    return np.einsum("ijk,ijk->ij", d, d)
+
+
 def beam_search(vectors: np.ndarray, near: np.ndarray, queries: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Nodes (-1: none) and squared distances, nearest first, that a beam of ``width`` holds for each query at its end."""
     nodes_out = np.full((len(queries), width), -1, np.int64)
-    dist_out = np.full((len(queries), width), np.inf, np.float32)
-    norms = np.einsum("ij,ij->i", vectors, vectors)
+    dist_out = np.full((len(queries), width), np.inf)
     for lo in range(0, len(queries), TOGETHER):
         q = queries[lo : lo + TOGETHER]
-        own = np.einsum("ij,ij->i", q, q)
         seen = np.zeros((len(q), len(vectors) + 1), bool)
         seen[:, -1] = True  # what -1 points to
         seen[:, starts] = True
-        d = norms[starts] - 2 * (q @ vectors[starts].T) + own[:, None]
+        d = np.concatenate([squares(q[:, None, :], np.broadcast_to(vectors[s], q.shape)) for s in starts] or [np.empty((len(q), 0))], axis=1)
         by = np.argsort(d, axis=1)[:, :width]
         nodes = np.full((len(q), width), -1, np.int64)
-        dist = np.full((len(q), width), np.inf, np.float32)
+        dist = np.full((len(q), width), np.inf)
         nodes[:, : by.shape[1]], dist[:, : by.shape[1]] = starts[by], np.take_along_axis(d, by, 1)
         todo = nodes >= 0
         while True:
@@ -37,8 +43,7 @@ def beam_search(vectors: np.ndarray, near: np.ndarray, queries: np.ndarray, star
             new = near[nodes[rows, at]]
             fresh = ~seen[rows[:, None], new]
             seen[rows[:, None], new] = True
-            v = vectors[new]
-            d = norms[new] - 2 * np.matmul(v, q[rows][:, :, None])[:, :, 0] + own[rows][:, None]
+            d = squares(vectors[new], q[rows])
             d[~fresh] = np.inf
             all_d = np.concatenate([dist[rows], d], axis=1)
             by = np.argsort(all_d, axis=1)[:, :width]
@@ -60,10 +65,9 @@ def robust_prune(vectors: np.ndarray, points: np.ndarray, candidates: np.ndarray
         c = np.sort(np.where(c == p[:, None], -1, c), axis=1)
         alive = c >= 0
         alive[:, 1:] &= c[:, 1:] != c[:, :-1]
-        v = vectors[c]
-        d = ((v - vectors[p][:, None, :]) ** 2).sum(axis=2)
-        n = np.einsum("bij,bij->bi", v, v)
-        between = n[:, :, None] + n[:, None, :] - 2 * np.matmul(v, v.transpose(0, 2, 1))
+        v = np.subtract(vectors[c], vectors[p][:, None, :], dtype=np.float64)  # the point is the origin
+        d = np.einsum("bij,bij->bi", v, v)
+        between = d[:, :, None] + d[:, None, :] - 2 * np.matmul(v, v.transpose(0, 2, 1))
         rows = np.arange(len(p))
         for i in range(degree):
             masked = np.where(alive, d, np.inf)
@@ -95,7 +99,7 @@ def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, rel
         near[new] = robust_prune(vectors, new, np.concatenate([found, peers], axis=1), degree, relaxed)
         src, dst = np.repeat(new, degree), near[new].ravel()
         src, dst = src[dst >= 0], dst[dst >= 0]
-        d = ((vectors[src] - vectors[dst]) ** 2).sum(axis=1)
+        d = squares(vectors[src][:, None, :], vectors[dst])[:, 0]
         by = np.lexsort((d, dst))
         src, dst = src[by], dst[by]
         first = np.flatnonzero(np.append(True, dst[1:] != dst[:-1])) if len(dst) else np.empty(0, np.int64)

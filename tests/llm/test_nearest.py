@@ -60,3 +60,17 @@ def test_edges(spark):
     assert [(q, r, v) for q, r, v, _ in rows] == [(0, 1, 2), (0, 2, 2), (0, 3, 100), (0, 4, 100), (0, 5, 1), (100, 1, 0), (100, 2, 1), (100, 3, 2), (100, 4, 2)]
     assert abs(rows[2][3] - half) < 1e-12
     assert nearest.search(nearest.index(df.limit(0)), df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(("norm", "jitter", "kind"), [(1, 1e-5, "float"), (30, 3e-4, "float"), (1, 1e-9, "double")])
+def test_near_copies(spark, norm, jitter, kind):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(3000, 32))
+    v *= norm / np.linalg.norm(v, axis=1)[:, None]
+    v[:1000] = v[0] + jitter * rng.normal(size=(1000, 32))
+    v = v.astype(np.float32 if kind == "float" else np.float64)
+    ids = rng.permutation(len(v)).tolist()
+    df = spark.createDataFrame(list(zip(ids, v.tolist(), strict=True)), f"vec_id long, embedding array<{kind}>")
+    asked = sorted(ids[:1000])[::20]
+    rows = nearest.search(nearest.index(df), df.filter(F.col("vec_id").isin(asked))).collect()
+    held(rows, brute(ids, v, asked), 0.95)

@@ -4,12 +4,14 @@ A window is one word between its separators, before a fixed passage that both di
 compressed lengths differ by nothing but that word. How many windows of a text gain how many bytes from the toxic
 dictionary is weighed by a logistic model whose thresholds are calibrated on training labels.
 
-The toxic dictionary is trained on the cores of toxic text: byte strings that recur in many toxic training texts and
-hardly in ordinary ones. Training takes a bounded sample of labelled rows; scores cover all words of all texts.
+The toxic dictionary is made of the cores of toxic text: byte strings that come in more toxic training texts than
+chance explains; it is as long as they are. Training takes a bounded sample of labelled rows; scores cover all words
+of all texts.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +26,10 @@ from evidloom.llm.common import text_of
 GRAM = 6
 #: Labelled texts of each class that are trained on at most, and the longest one, in bytes.
 TOXIC_TEXTS, ORDINARY_TEXTS, LONGEST = 2000, 4000, 200_000
-#: Bytes of each trained dictionary, of them the entropy tables in front, and of the shared ordinary base.
+#: Least bytes of each trained dictionary, of them the entropy tables in front, and of the shared ordinary base.
 DICTIONARY, TABLES, BASE = 1000, 200, 8192
+#: The share of chance finds among chosen grams.
+CHANCE = 0.05
 PASSAGE = b". the window is: "
 #: Gains in bytes whose windows are counted.
 GAINS = (1, 2, 3, 4, 5, 6, 7, 8)
@@ -75,9 +79,27 @@ def _fresh(texts: list[str]) -> list[bytes]:
     return out
 
 
-def _cores(texts: list[bytes], keys: np.ndarray, count: np.ndarray) -> list[bytes]:
-    """From each text the stretches of chosen grams, without grams half as frequent as the stretch's best."""
-    out = []
+def _beyond_chance(toxic: np.ndarray, ordinary: np.ndarray, share: float) -> np.ndarray:
+    """Which grams come in more toxic texts than ``share`` of all their texts explains.
+
+    The Chernoff bound of the binomial tail for each gram, and Benjamini and Hochberg's step-up over all of them, so
+    that a gram of a language with few toxic texts needs no fixed number of them.
+    """
+    n = toxic + ordinary
+    x = toxic / np.maximum(n, 1)
+    rest = np.where(x < 1, (1 - x) * np.log(np.maximum(1 - x, 1e-300) / (1 - share)), 0)
+    p = np.where(x > share, np.exp(-n * (x * np.log(np.maximum(x, 1e-300) / share) + rest)), 1.0)
+    ranked = np.sort(p)
+    passed = np.flatnonzero(ranked <= CHANCE * np.arange(1, len(p) + 1) / max(len(p), 1))
+    return p <= ranked[passed[-1]] if len(passed) else np.zeros(len(p), bool)
+
+
+def _cores(texts: list[bytes], keys: np.ndarray, count: np.ndarray) -> bytes:
+    """All different stretches of chosen grams, without grams half as frequent as the stretch's best; frequent ones last.
+
+    A stretch that a kept one holds is left out, as its bytes are there.
+    """
+    found: Counter[bytes] = Counter()
     for t in texts:
         f = _at(keys, count, _grams(t))
         hit = np.flatnonzero(f)
@@ -88,8 +110,15 @@ def _cores(texts: list[bytes], keys: np.ndarray, count: np.ndarray) -> list[byte
         hit = hit[2 * f[hit] >= best]
         cut = np.flatnonzero(np.diff(hit) > 1)
         spans = zip(np.append(hit[:1], hit[cut + 1]).tolist(), (np.append(hit[cut], hit[-1:]) + GRAM).tolist(), strict=True)
-        out.append(b"".join(sorted({t[a:b] for a, b in spans})))
-    return [x for x in out if len(x) >= 8]
+        found.update({t[a:b] for a, b in spans})
+    kept: list[bytes] = []
+    grams: set[bytes] = set()
+    for s in sorted(found, key=lambda s: (-found[s], s)):
+        own = {s[i : i + GRAM] for i in range(len(s) - GRAM + 1)}
+        if not own <= grams:
+            grams |= own
+            kept.append(s)
+    return b"".join(reversed(kept))
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
@@ -151,11 +180,12 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
         return Model(b" ", b" ", (0.0,) * (n - 1) + (4.0 if toxic else -4.0,))
     t, o = _fresh(toxic), _fresh(ordinary)
     (tk, tc), (ok, oc) = _frequencies(t), _frequencies(o)
-    chosen = (tc >= max(min(8, len(t)), len(t) // 100)) & (tc / len(t) >= 20 * (_at(ok, oc, tk) + 0.5) / len(o))
-    size = DICTIONARY - TABLES
+    there = _at(ok, oc, tk)
+    chosen = _beyond_chance(tc, there, len(t) / (len(t) + len(o)))
     base = _trained(o, BASE)
-    special = _trained(_cores(t, tk[chosen], tc[chosen]), DICTIONARY)[-size:]
-    plain = _trained(o, DICTIONARY)[-size:]
+    special = _cores(t, tk[chosen], tc[chosen])
+    size = max(DICTIONARY - TABLES, len(special))
+    plain = _trained(o, size + TABLES)[-size:]
     dictionaries = special + base + PASSAGE, plain.rjust(len(special), b"\0")[-len(special) :] + base + PASSAGE
     scorer = Scorer(*dictionaries)
     x = np.array([scorer.features(s) for s in (*toxic, *ordinary)], float)

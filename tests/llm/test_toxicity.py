@@ -46,3 +46,26 @@ def test_query_contract(spark):
     ids = [r.doc_id for r in table(spark, sf_dir, "documents").select("doc_id").collect()]
     assert sorted(got) == sorted(ids)
     assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for d, r in got.items())
+
+
+def right(rows):
+    """Shares of toxic and of ordinary held-out texts that are judged right."""
+    model = toxicity.fit([t for i, t, y in rows if y and i % 5], [t for i, t, y in rows if not y and i % 5])
+    scorer, held = toxicity.Scorer(model.toxic, model.ordinary), [r for r in rows if r[0] % 5 == 0]
+    said = toxicity._probability(toxicity.np.array([scorer.features(t) for _, t, _ in held], float), toxicity.np.array(model.weights)) >= 0.5
+    return [sum(bool(s) == bool(y) for s, (_, _, y) in zip(said, held, strict=True) if y == c) / sum(y == c for _, _, y in held) for c in (1, 0)]
+
+
+def vocabulary(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9))) for _ in range(n)]
+
+
+def test_many_toxic_words():
+    rng = random.Random(6)
+    words, bad = vocabulary(rng, 300), vocabulary(rng, 250)
+    rows = []
+    for i in range(1600):
+        text = [rng.choice(words) for _ in range(60)] + [rng.choice(bad) for _ in range(6 * (i % 4 == 0))]
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), int(i % 4 == 0)))
+    assert min(right(rows)) >= 0.95

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import public_tokenizers
 import pyarrow as pa
@@ -11,14 +14,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidloom.llm.common import text_of, written
-from evidloom.llm.pretokens import REMEMBERED, Cutter
+from evidloom.llm.pretokens import Cutter
 
 #: A token that the tokenizer takes out of the text before it cuts; it counts one.
 ENDOFTEXT = "<|endoftext|>"
-#: Most frequent pre-tokens that every task gets; a few megabytes whatever the data.
+#: Most frequent pre-tokens that every task gets; with keys of bounded size a few megabytes whatever the data.
 HEAD = 1 << 18
-#: Longer pre-tokens are never in the head, so that its size is bounded.
-HEAD_CHARS = 32
+#: Longer pre-tokens, in bytes, go by a digest.
+KEY_BYTES = 40
+#: Bytes of different strings that a task holds between two flushes.
+HELD_BYTES = 32 << 20
+#: Texts, pre-tokens for one library call, and bytes that are taken up at a time.
+TEXTS, LIBRARY, SLICE_BYTES = 256, 1024, 8 << 20
+#: A string's share of the budget beside its bytes: object, table entry and count.
+ENTRY = 150
+
+
+def key_of(pretoken: str) -> str:
+    """The pre-token itself, or for a long one its 128-bit digest behind a character that no short one begins with."""
+    if len(pretoken) <= KEY_BYTES // 4 or len(data := pretoken.encode()) <= KEY_BYTES and pretoken[0] != "\1":
+        return pretoken
+    return "\1" + hashlib.blake2b(data, digest_size=16).hexdigest()
+
+
+@dataclass(frozen=True)
+class Head:
+    """The most frequent keys and their piece counts, as flat arrays that a worker makes a table of once."""
+
+    keys: pa.Array
+    pieces: pa.Array
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Head:
+        return cls(rows.column("key").cast(pa.string()).combine_chunks(), rows.column("n_pieces").combine_chunks())
+
+    def table(self) -> dict[str, int]:
+        return dict(zip(self.keys.to_pylist(), self.pieces.to_pylist(), strict=True))
 
 
 def _parts(cutter: Cutter, text: str, special: str) -> tuple[list[str], list[str], int]:
@@ -32,56 +63,83 @@ def _parts(cutter: Cutter, text: str, special: str) -> tuple[list[str], list[str
 
 
 def pretoken_frequencies(docs: DataFrame, pattern: str, special: str) -> DataFrame:
-    """How often each distinct pre-token is in all texts; each task sends its own sums."""
+    """How often each distinct pre-token is in all texts; each task sends its own sums, a bounded number of bytes at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, chunks, found = Cutter(pattern), Counter(), Counter()
 
-        def flush():
+        def sums():
+            names, counts = list(found), list(found.values())
+            found.clear()
+            for lo in range(0, len(names), 1 << 14):
+                yield pa.RecordBatch.from_arrays([pa.array(names[lo : lo + (1 << 14)], pa.string()), pa.array(counts[lo : lo + (1 << 14)], pa.int64())], ["pretoken", "freq"])
+
+        def cut():
             for c, k in chunks.items():
                 for p in cutter.cut(" " + c):
                     found[p] += k
             chunks.clear()
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["pretoken", "freq"])
-            found.clear()
 
+        held = 0
         for batch in batches:
             for t in batch.column(1):
                 alone, rest, _ = _parts(cutter, t.as_py(), special)
-                chunks.update(rest)
+                for c in rest:
+                    if c not in chunks:
+                        held += 2 * (len(c) + ENTRY)
+                    chunks[c] += 1
                 for a in alone:
-                    found.update(cutter.cut(a))
-                if len(chunks) + len(found) > 2 * REMEMBERED:
-                    yield from flush()
-        yield from flush()
+                    for p in cutter.cut(a):
+                        if p not in found:
+                            held += len(p) + ENTRY
+                        found[p] += 1
+                if held > HELD_BYTES:
+                    cut()
+                    yield from sums()
+                    held = 0
+        cut()
+        yield from sums()
 
     return docs.mapInArrow(run, "pretoken string, freq bigint").groupBy("pretoken").agg(F.sum("freq").alias("freq"))
 
 
 def count_pieces(pretokens: DataFrame, tokenizer_json: str) -> DataFrame:
-    """``n_pieces`` for each distinct pre-token."""
+    """``key``, ``freq`` and ``n_pieces`` of each distinct pre-token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         model = Tokenizer.from_str(tokenizer_json)
         model.no_truncation()
         model.no_padding()
         for batch in batches:
-            n = [len(e.ids) for e in model.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], ["pretoken", "freq", "n_pieces"])
+            for part in slices(batch, LIBRARY, SLICE_BYTES):
+                names = part.column(0).to_pylist()
+                n = [len(e) for e in model.encode_batch_fast(names, add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([pa.array([key_of(p) for p in names], pa.string()), part.column(1), pa.array(n, pa.int64())], ["key", "freq", "n_pieces"])
+
+    return pretokens.select("pretoken", "freq").mapInArrow(run, "key string, freq bigint, n_pieces bigint")
 
-    return pretokens.select("pretoken", "freq").mapInArrow(run, "pretoken string, freq bigint, n_pieces bigint")
+
+def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``rows`` rows and about ``size`` bytes, one row at least."""
+    lo = 0
+    while lo < batch.num_rows:
+        many = rows
+        while many > 1 and batch.slice(lo, many).nbytes > size:
+            many //= 2
+        yield batch.slice(lo, many)
+        lo += many
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, pattern: str | None = None, special: str = ENDOFTEXT, limit: int = 512, head: int = HEAD) -> DataFrame:
     """Each row's id, ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens).
 
     Distinct pre-tokens are counted by the tokenizer once and kept as a table. A task has the ``head`` most frequent
-    of them at hand, a bounded number of bounded strings; what a text has besides goes as (row, pre-token,
-    frequency) to a join with the whole table. Null texts are empty: no tokens. ``special`` inside a text counts
-    one. Null and repeated ids give a row for each row; other columns are left out.
+    of them at hand, by keys of bounded size; what a text has besides goes as (row, key, frequency) to a join with
+    the whole table, where no key is more frequent than those of the head. Null texts are empty: no tokens.
+    ``special`` inside a text counts one. Null and repeated ids give a row for each row; other columns are left out.
     """
     spark = docs.sparkSession
     pattern = pattern or public_tokenizers.PATTERN
@@ -89,52 +147,54 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         tokenizer_json = f.read()
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
     counted = written(count_pieces(pretoken_frequencies(own, pattern, special), tokenizer_json))
-    frequent = counted.filter(F.length("pretoken") <= HEAD_CHARS).orderBy(F.desc("freq"), "pretoken").limit(head)
-    known = spark.sparkContext.broadcast({r.pretoken: r.n_pieces for r in frequent.select("pretoken", "n_pieces").toLocalIterator()})
+    frequent = counted.orderBy(F.desc("freq"), "key").limit(head)
+    known = spark.sparkContext.broadcast(Head.of(frequent.select("key", "n_pieces").toArrow()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, common, of_chunk = Cutter(pattern), known.value, {}
+        cutter, common, of_chunk, held = Cutter(pattern), known.value.table(), {}, 0
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
 
         def look(c: str) -> int:
             """Pieces of a chunk; -1 if it has a pre-token outside the head."""
-            got = [common.get(p) for p in cutter.cut(" " + c)]
+            got = [common.get(p) if len(p) <= KEY_BYTES // 4 else common.get(key_of(p)) for p in cutter.cut(" " + c)]
             return -1 if None in got else sum(got)
 
         for batch in batches:
-            out = [[], [], [], [], []]
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = t.as_py()
-                alone, chunks, total = _parts(cutter, text, special)
-                rare = Counter()
-                if len(of_chunk) > REMEMBERED:
-                    of_chunk.clear()
-                for c in chunks:
-                    n = of_chunk.get(c)
-                    if n is None:
-                        n = of_chunk[c] = look(c)
-                    if n < 0:
-                        alone.append(" " + c)
-                    else:
-                        total += n
-                for a in alone:
-                    for p in cutter.cut(a):
-                        if p in common:
-                            total += common[p]
+            for part in slices(batch, TEXTS, SLICE_BYTES):
+                out = [[], [], [], [], []]
+                for doc, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    text = t.as_py()
+                    alone, chunks, total = _parts(cutter, text, special)
+                    rare = Counter()
+                    if held > HELD_BYTES:
+                        of_chunk.clear()
+                        held = 0
+                    for c in chunks:
+                        n = of_chunk.get(c)
+                        if n is None:
+                            n = of_chunk[c] = look(c)
+                            held += len(c) + ENTRY
+                        if n < 0:
+                            alone.append(" " + c)
                         else:
-                            rare[p] += 1
-                for column, x in zip(out, (doc, len(text.encode()), total, list(rare), list(rare.values())), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "n_bytes", "head", "rare", "freq"])
+                            total += n
+                    for a in alone:
+                        for p in cutter.cut(a):
+                            key = key_of(p)
+                            if key in common:
+                                total += common[key]
+                            else:
+                                rare[key] += 1
+                    for column, x in zip(out, (doc, len(text.encode()), total, list(rare), list(rare.values())), strict=True):
+                        column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "n_bytes", "head", "rare", "freq"])
 
     per_doc = own.mapInArrow(run, "doc_id bigint, n_bytes bigint, head bigint, rare array<string>, freq array<bigint>")
-    # The row's own sum goes along as an entry whose key, the row's number, no pre-token joins.
-    numbered = per_doc.withColumn("row", F.monotonically_increasing_id())
-    entries = numbered.select(
-        "row", "doc_id", "n_bytes", "head",
-        F.explode(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("pretoken"), F.lit(0).cast("bigint").alias("freq"))), F.arrays_zip(F.col("rare").alias("pretoken"), F.col("freq")))).alias("e"),
-    )
-    keyed = entries.select("row", F.when(F.col("e.pretoken").isNull(), F.col("doc_id")).alias("doc_id"), F.when(F.col("e.pretoken").isNull(), F.col("n_bytes")).alias("n_bytes"), F.when(F.col("e.pretoken").isNull(), F.col("head")).otherwise(F.lit(0)).alias("head"), F.coalesce(F.col("e.pretoken"), F.concat(F.lit("\0row "), F.col("row"))).alias("pretoken"), F.col("e.freq").alias("freq"))
-    joined = keyed.join(counted.select("pretoken", "n_pieces"), "pretoken", "left")
-    sums = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("head") + F.col("freq") * F.coalesce(F.col("n_pieces"), F.lit(0))).alias("n_tokens"))
+    # Numbered rows are written, so that a task that runs again reads the same numbers.
+    numbered = written(per_doc.withColumn("row", F.monotonically_increasing_id()))
+    entries = numbered.select("row", F.explode(F.arrays_zip(F.col("rare").alias("key"), F.col("freq").alias("times"))).alias("e")).select("row", "e.*")
+    rare = entries.join(counted.select("key", "n_pieces"), "key").select("row", (F.col("times") * F.col("n_pieces")).alias("more"))
+    rows = numbered.select("row", "doc_id", "n_bytes", "head").unionByName(rare, allowMissingColumns=True)
+    # ``head`` is null in what the join adds, and there only.
+    sums = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), (F.sum("head") + F.coalesce(F.sum("more"), F.lit(0))).alias("n_tokens"))
     return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -43,3 +43,13 @@ def test_counts_equal_tokenizers(spark, sf_dir, odd, head):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert count_tokens(empty).collect() == [] and encode_documents(empty).collect() == []
+
+
+def test_long_and_hot_pretokens(spark):
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rule, huge = "=" * 300, "x" * 1_000_000
+    rows = [(i, f"{rule} word{i} \x01{rule} " + huge * (i in (3, 7))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted((d, len(x.encode()), n := len(t.encode(x, add_special_tokens=False).ids), n > 512) for d, x in rows)
+    for head in (4, 1 << 18):
+        assert sorted(map(tuple, count_tokens(df, head=head).collect())) == want

@@ -1,7 +1,7 @@
 """Chat formatting by perspective rotation: each participant of a dialogue is once the assistant, the others are named users.
 
-Only DataFrame functions are used. A dialogue is rendered in parts of a bounded number of messages, so that no
-group grows with a long conversation; what the parts have in common is the conversation, the perspective and the order.
+Only DataFrame functions are used. Places of messages come from running sums over a conversation, so a mask is read
+off and not built up message by message. A row holds a whole dialogue; that row is what a long conversation costs.
 """
 
 from __future__ import annotations
@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BEGIN, END, SYSTEM = "<|im_start|>", "<|im_end|>", "system"
-PART = 64
-SPANS = "array<struct<start:int,end:int>>"
+OWN, OTHER = "assistant", "user name="
 
 
 def _guarded(text: Column) -> Column:
@@ -21,42 +20,42 @@ def _guarded(text: Column) -> Column:
     return text
 
 
-def _head(speaker: Column, own: Column) -> Column:
-    name = F.when(speaker.isNull(), F.lit("user")).when(speaker == SYSTEM, F.lit(SYSTEM)).when(speaker == own, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), speaker))
-    return F.concat(F.lit(BEGIN), name, F.lit("\n"))
+def perspectives(dialogues: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text") -> DataFrame:
+    """A row for each conversation and participant: conv_id, perspective, n_messages, text and mask.
 
-
-def perspectives(dialogues: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", part: int = PART) -> DataFrame:
-    """A row for each conversation, participant and part: conv_id, perspective, part, n_messages, text and mask.
-
-    ``text`` has every message of the part: the perspective's as assistant, system messages as system, others as
+    ``text`` has every message of the dialogue: the perspective's as assistant, system messages as system, others as
     ``user name=...``. ``mask`` holds the (start, end) code points that are trained on: the assistant's contents with
     their end markers. Messages come by turn, null last, ties by speaker and text; repeated rows are repeated messages.
     A null text is empty. A null speaker is a user without a name and has no perspective; neither has the system, so
-    a conversation with no one else gives no row. A null conversation is one of its own. In names a line feed is a
-    space. Other columns are left out.
+    a conversation with no one else gives no row. A null conversation is one of its own. Speakers are told apart by
+    their names as they are; in a rendered name a line feed is a space. Other columns are left out.
     """
-    name = F.replace(_guarded(F.col(speaker_col).cast("string")), F.lit("\n"), F.lit(" "))
-    own = dialogues.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), name.alias("speaker"), _guarded(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
-    people = own.filter(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), F.col("speaker").asc_nulls_last(), "text")
-    placed = own.withColumn("place", F.row_number().over(order) - 1).withColumn("part", F.floor(F.col("place") / part).cast("int"))
-    parts = placed.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("place", "speaker", "text"))).alias("messages"))
-    each = parts.join(people, F.col("conv_id").eqNullSafe(F.col("of")))
-    said = each.withColumn("said", F.transform("messages", lambda m: F.struct(_head(m["speaker"], F.col("perspective")).alias("head"), F.concat(m["text"], F.lit(END)).alias("body"), F.coalesce(m["speaker"] == F.col("perspective"), F.lit(False)).alias("trained"))))
-
-    def add(a: Column, m: Column) -> Column:
-        start = a["at"] + F.length(m["head"])
-        end = start + F.length(m["body"])
-        spans = F.when(m["trained"], F.concat(a["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(a["spans"])
-        return F.struct((end + 1).alias("at"), spans.alias("spans"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-    return said.select(
-        "conv_id", "perspective", "part",
+    own = dialogues.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(speaker_col).cast("string").alias("speaker"), _guarded(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
+    shown = F.replace(_guarded(F.col("speaker")), F.lit("\n"), F.lit(" "))
+    other = F.when(F.col("speaker").isNull(), F.lit("user")).when(F.col("speaker") == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit(OTHER), shown))
+    named = own.withColumn("head", F.concat(F.lit(BEGIN), other, F.lit("\n"))).withColumn("body", F.concat("text", F.lit(END)))
+    order = [F.col("turn").asc_nulls_last(), F.col("speaker").asc_nulls_last(), "text"]
+    so_far, same = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("conv_id", "speaker").orderBy(*order)
+    chars = F.length("head") + F.length("body") + 1
+    # ``begin``: where the message begins if all speakers are others; ``nth``: how many of the speaker's own come before it.
+    placed = named.withColumns({"place": F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)), "begin": F.coalesce(F.sum(chars).over(so_far), F.lit(0)), "nth": F.row_number().over(same) - 1})
+    message = F.struct("place", "speaker", "head", "body", "begin", "nth")
+    whole = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("messages"), F.collect_set(F.when(F.col("speaker") != SYSTEM, F.col("speaker"))).alias("people"))
+    each = whole.select("conv_id", F.explode("people").alias("perspective"), "messages")
+    mine = f"{BEGIN}{OWN}\n"
+
+    def trained(m: Column) -> Column:
+        start = m["begin"] + m["nth"] * (len(mine) - F.length(m["head"])) + len(mine)
+        return F.struct(start.cast("int").alias("start"), (start + F.length(m["body"])).cast("int").alias("end"))
+
+    def is_own(m: Column) -> Column:
+        return F.coalesce(m["speaker"] == F.col("perspective"), F.lit(False))
+
+    return each.select(
+        "conv_id", "perspective",
         F.size("messages").cast("bigint").alias("n_messages"),
-        F.array_join(F.transform("said", lambda m: F.concat(m["head"], m["body"], F.lit("\n"))), "").alias("text"),
-        F.aggregate("said", zero, add, lambda a: a["spans"]).alias("mask"),
+        F.array_join(F.transform("messages", lambda m: F.concat(F.when(is_own(m), F.lit(mine)).otherwise(m["head"]), m["body"], F.lit("\n"))), "").alias("text"),
+        F.transform(F.filter("messages", is_own), trained).alias("mask"),
     )
 
 
@@ -70,15 +69,15 @@ def _sql_guarded(text: str) -> str:
 
 
 ORACLE = f"""
-WITH own AS (SELECT conv_id, turn, replace({_sql_guarded('role')}, chr(10), ' ') AS speaker, {_sql_guarded("coalesce(text, '')")} AS text FROM conversations),
-placed AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, speaker NULLS LAST, text) - 1)::INT AS place FROM own),
+WITH own AS (SELECT conv_id, turn, role AS speaker, replace({_sql_guarded('role')}, chr(10), ' ') AS shown, {_sql_guarded("coalesce(text, '')")} AS text FROM conversations),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, speaker NULLS LAST, text) AS place FROM own),
 people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM own WHERE speaker <> '{SYSTEM}'),
 said AS (
-  SELECT m.conv_id, p.perspective, (place // {PART})::INT AS part, place, coalesce(speaker = perspective, false) AS trained, text || '{END}' AS body,
-    '{BEGIN}' || CASE WHEN speaker IS NULL THEN 'user' WHEN speaker = '{SYSTEM}' THEN '{SYSTEM}' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head
+  SELECT m.conv_id, p.perspective, place, coalesce(speaker = perspective, false) AS trained, text || '{END}' AS body,
+    '{BEGIN}' || CASE WHEN speaker IS NULL THEN 'user' WHEN speaker = '{SYSTEM}' THEN '{SYSTEM}' WHEN speaker = perspective THEN '{OWN}' ELSE '{OTHER}' || shown END || chr(10) AS head
   FROM placed m JOIN people p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
-offsets AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY place) - length(body) - 1 AS start FROM said)
-SELECT conv_id, perspective, part, count(*) AS n_messages, string_agg(head || body || chr(10), '' ORDER BY place) AS text,
+offsets AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY place) - length(body) - 1 AS start FROM said)
+SELECT conv_id, perspective, count(*) AS n_messages, string_agg(head || body || chr(10), '' ORDER BY place) AS text,
   coalesce(string_agg(start || '-' || (start + length(body)), ',' ORDER BY place) FILTER (trained), '') AS mask
 FROM offsets GROUP BY ALL
 """

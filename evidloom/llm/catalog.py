@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.ORACLE, "op6_chat_format": chat_format.ORACLE}
+    return {"op2_quality_rules": quality_rules.ORACLE, "op4_secret_scan": secrets.ORACLE, "op6_chat_format": chat_format.ORACLE}

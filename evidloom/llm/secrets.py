@@ -1,8 +1,9 @@
-"""Secret scans: all rules as one minimal automaton, run once over the bytes of a text.
+"""Secret scans: all rules, whole, as one minimal automaton that reads the bytes of a text once.
 
-The combined automaton finds where some rule's secret has begun. The stretch around it, between bytes that
-no rule reads across, is then cut into matches rule by rule, leftmost and not overlapping, with each rule's own
-automaton. Most texts have no such place and cost one table step for each byte.
+The combined automaton tells at which byte a rule's match is sure and at which it ends, leftmost, longest and without
+overlaps for each kind. Where it began is read backwards from the byte where it was sure, no farther than the
+kind's last match, so every byte is read once forwards and at most once backwards for each kind: the time is linear,
+whatever the text. Texts without secrets cost one table step for each byte.
 """
 
 from __future__ import annotations
@@ -10,27 +11,28 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidloom.llm.byte_automaton import Automaton
+from evidloom.llm.byte_automaton import Combined, backward, parsed
 
 
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` consumes text; a match stays if it also is a match of ``kept``.
 
-    ``begun`` is a beginning that every kept match has: the combined automaton reads on to there. Counting several
-    rules' lengths at once would multiply its states; beginnings keep it small, and rare enough to look closer.
+    ``by_length``: a match of the pattern is one of ``kept`` exactly if it is long enough. Lengths are then compared
+    where a match ends and not counted by the automaton, whose states they would multiply.
     """
 
     kind: str
     pattern: str
     kept: str
-    begun: str
+    by_length: bool = False
 
 
 def either_case(words: str) -> str:
@@ -39,79 +41,95 @@ def either_case(words: str) -> str:
 
 _ASSIGN = "(" + either_case("password|passwd|secret|token|api_?key") + r")[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]"
 BASE = (
-    Rule("assign", _ASSIGN + "+", _ASSIGN + "{12,}", _ASSIGN),
-    Rule("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{14,}", "AKIA[A-Z0-9]"),
-    Rule("hex", "[0-9a-f]+", "[0-9a-f]{16,}", "[0-9a-f]{16}"),
+    Rule("assign", _ASSIGN + "+", _ASSIGN + "{12,}"),
+    Rule("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{14,}", True),
+    Rule("hex", "[0-9a-f]{16,}", "[0-9a-f]{16,}"),  # shorter runs of these letters are everywhere and end nothing
 )
 #: Token formats with a fixed beginning, and headers of private keys.
 ADDED = (
-    Rule("github", "gh[pousr]_[A-Za-z0-9]+", "gh[pousr]_[A-Za-z0-9]{16,}", "gh[pousr]_"),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-[A-Za-z0-9-]{10,}", "xox[abprs]-"),
-    Rule("google", "AIza[A-Za-z0-9_-]+", "AIza[A-Za-z0-9_-]{20,}", "AIza"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}", r"eyJ[A-Za-z0-9_-]+\."),
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN "),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]+", "gh[pousr]_[A-Za-z0-9]{16,}", True),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-[A-Za-z0-9-]{10,}", True),
+    Rule("google", "AIza[A-Za-z0-9_-]+", "AIza[A-Za-z0-9_-]{20,}", True),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}"),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
+class Event:
+    """Stands in a row where a step tells something; a step from it fails, which ends the plain loop."""
+
+    __slots__ = ("to", "told")
+
+    def __init__(self, to: list, told: tuple):
+        self.to, self.told = to, told
+
+
 class Scanner:
     """Spans of secrets in bytes; made once on the driver, its arrays go to the tasks."""
 
     def __init__(self, rules: tuple[Rule, ...] = BASE + ADDED):
         self.kinds = [r.kind for r in rules]
-        self.any = Automaton([r.begun.encode() for r in rules], anywhere=True)
-        self.own = [(Automaton([r.pattern.encode()], False), Automaton([r.kept.encode()], False)) for r in rules]
+        self.any = Combined([(r.pattern.encode(), (r.pattern if r.by_length else r.kept).encode()) for r in rules])
+        self.least = [int(parsed(r.kept.encode()).getwidth()[0]) if r.by_length else 0 for r in rules]
+        self.back = [backward(r.pattern.encode()) for r in rules]
+        self.rows = None
 
     def tables(self) -> Scanner:
-        """Rows as lists, which a task steps through fastest."""
-        self.rows, self.accepting = self.any.next.tolist(), self.any.accepting
-        self.cuts = [all((p.next[:, b] == p.dead).all() for p, _ in self.own) for b in range(256)]
-        self.first = [frozenset(b for b in range(256) if p.next[0, b] != p.dead) for p, _ in self.own]
-        self.steps = [tuple((a.next.tolist(), a.accepting, a.dead) for a in pair) for pair in self.own]
+        """Rows as lists of rows, which a task steps through fastest; a row's last entry is its number."""
+        if self.rows is None:
+            a = self.any
+            rows: list[list] = [[] for _ in range(a.states)]
+            for i, (to, code) in enumerate(zip(a.next.tolist(), a.code.tolist(), strict=True)):
+                rows[i] += [Event(rows[x], a.events[c]) if c else rows[x] for x, c in zip(to, code, strict=True)]
+                rows[i].append(i)
+            self.rows, self.letters = rows, bytes(a.of_byte.tolist())
+            self.steps = [(step.tolist(), whole.tolist(), dead) for step, whole, dead in self.back]
         return self
 
-    @staticmethod
-    def _longest(steps, data: bytes, at: int, end: int) -> int:
-        """End of the longest match that begins at ``at``; -1 if there is none."""
-        rows, accepting, dead = steps
-        state, found = 0, -1
-        for i in range(at, end):
+    def __getstate__(self):
+        return self.__dict__ | {"rows": None, "letters": None, "steps": None}
+
+    def _begin(self, k: int, data: bytes, end: int, lo: int) -> int:
+        """Where the longest match of a rule that ends at ``end`` begins, from ``lo`` on."""
+        rows, whole, dead = self.steps[k]
+        state, found = 0, end
+        for i in range(end - 1, lo - 1, -1):
             state = rows[state][data[i]]
-            if state >= accepting:
-                found = i + 1
+            if whole[state]:
+                found = i
             elif state == dead:
                 break
         return found
 
     def find(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, number of the kind, end), in order."""
-        rows, accepting, cuts = self.rows, self.accepting, self.cuts
-        out, begin, n = [], 0, len(data)
-        while begin < n:
-            state, steps = 0, iter(data)
-            steps.__setstate__(begin)
-            for b in steps:
-                state = rows[state][b]
-                if state >= accepting:
-                    break
-            else:
+        read, n, row, out = data.translate(self.letters), len(data), self.rows[0], []
+        begun, free = [0] * len(self.kinds), [0] * len(self.kinds)
+
+        def close(k: int, end: int, kept: bool) -> None:
+            if kept and end - begun[k] >= self.least[k]:
+                out.append((begun[k], k, end))
+            free[k] = end
+
+        steps = iter(read)
+        while True:
+            try:
+                for b in steps:
+                    row = row[b]
+                at, more = n - 1, False
+            except TypeError:  # the byte before told something; the one that failed is still to be read
+                at, more = n - steps.__length_hint__() - 2, True
+            if type(row) is not Event:
                 break
-            lo = hi = n - steps.__length_hint__()
-            while lo > begin and not cuts[data[lo - 1]]:
-                lo -= 1
-            while hi < n and not cuts[data[hi]]:
-                hi += 1
-            for k, (own, kept) in enumerate(self.steps):
-                first, i = self.first[k], lo
-                while i < hi:
-                    end = self._longest(own, data, i, hi) if data[i] in first else -1
-                    if end < 0:
-                        i += 1
-                        continue
-                    if self._longest(kept, data, i, end) == end:
-                        out.append((i, k, end))
-                    i = end
-            begin = hi
+            for k, opens, closes, kept in row.told:
+                if closes:
+                    close(k, at, kept)
+                if opens:
+                    begun[k] = self._begin(k, data, at + 1, free[k])
+            row = row.to[read[at + 1]] if more else row.to
+        for k, kept in self.any.at_end[row[-1]]:
+            close(k, n, kept)
         return sorted(out)
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
@@ -134,6 +152,11 @@ def redacted(text: str, spans: list[tuple[int, int, int]], kinds: list[str]) ->
     return "".join(out) + text[at:]
 
 
+@lru_cache(maxsize=4)
+def scanner_of(rules: tuple[Rule, ...]) -> Scanner:
+    return Scanner(rules)
+
+
 def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = BASE + ADDED, redact: bool = False, name: str = "secrets") -> DataFrame:
     """``docs`` with a column ``name``: the text's secrets as (kind, start, end), in code points, end exclusive.
 
@@ -142,7 +165,7 @@ def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = BASE
     """
     if name.lower() in (c.lower() for c in docs.columns):
         raise ValueError(f"{name} is taken")
-    sent = docs.sparkSession.sparkContext.broadcast(Scanner(rules))
+    sent = docs.sparkSession.sparkContext.broadcast(scanner_of(rules))
     at = docs.columns.index(text_col)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -175,3 +198,23 @@ def digest(scanned: DataFrame, id_col: str = "doc_id", name: str = "secrets", ba
     kinds = F.transform(name, lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in base]
     return scanned.select(F.col(id_col).alias("doc_id"), *counts, F.sha2(listed(own), 256).alias("base_sha256"), listed(F.col(name)).alias("spans"))
+
+
+def _oracle(rules: tuple[Rule, ...]) -> str:
+    """The contract in DuckDB: each rule's matches and the gaps between them give their places."""
+    quoted = [(r.kind, r.pattern.replace("'", "''"), r.kept.replace("'", "''")) for r in rules]
+    found = " UNION ALL ".join(f"SELECT row, {k} AS k, '{kind}' AS kind, '{kept}' AS kept, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM d" for k, (kind, p, kept) in enumerate(quoted))
+    counts = ", ".join(f"count(s.k) FILTER (s.k = {k}) AS n_{r.kind}" for k, r in enumerate(BASE))
+    listed = "string_agg(s.kind || ':' || s.lo || ':' || s.hi, ',' ORDER BY s.lo, s.k)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+each AS (SELECT row, k, kind, kept, unnest(m) AS w, unnest(g[:len(m)]) AS gap, unnest(range(len(m))) AS i FROM found WHERE len(m) > 0),
+placed AS (SELECT *, sum(length(gap) + length(w)) OVER (PARTITION BY row, k ORDER BY i) AS hi FROM each),
+s AS (SELECT row, k, kind, hi - length(w) AS lo, hi FROM placed WHERE regexp_full_match(w, kept))
+SELECT doc_id, {counts}, sha256(coalesce({listed} FILTER (s.k < {len(BASE)}), '')) AS base_sha256, coalesce({listed}, '') AS spans
+FROM d LEFT JOIN s USING (row) GROUP BY row, doc_id
+"""
+
+
+ORACLE = _oracle(BASE + ADDED)

@@ -1,12 +1,14 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from evidloom.llm import catalog
-from evidloom.llm.byte_automaton import Automaton
+from evidloom.llm.byte_automaton import Combined, backward
 from evidloom.llm.common import table
-from evidloom.llm.secrets import ADDED, BASE, Scanner, digest, scan
+from evidloom.llm.secrets import ADDED, BASE, ORACLE, Scanner, digest, scan
+from oracle import check
 
 CONTRACT = [
     ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 12),
@@ -55,8 +57,22 @@ def test_redaction(spark):
     assert scan(df.limit(0)).collect() == []
 
 
+def test_equals_sql(spark, sf_dir):
+    check(catalog.op4_secret_scan(spark, sf_dir), sf_dir, ORACLE)
+
+
 def test_minimal_and_bounded():
-    assert Automaton([b"ab|cb", b"(a|c)b"], False).states == 4
-    with pytest.raises(ValueError):
-        Automaton([rb"(a)\1"], False)
+    assert len(backward(b"ab|cb")[0]) == len(backward(b"(a|c)b")[0]) == 4
+    for refused in (rb"(a)\1", b"a(bc)?", b"ab|abce", b"abcd|bc"):  # not regular; matches that stop being one while they grow; one sure while an earlier is open
+        with pytest.raises(ValueError):
+            Combined([(refused, refused)])
     assert Scanner().any.states < 20_000
+
+
+@pytest.mark.parametrize("bit", ["eyJ", "eyJ.", "AKIA", "token", "token =", "a", "ghp_", "eyJa.eyJb.c "])
+def test_linear_time(bit):
+    scanner = Scanner().tables()
+    text = bit * (1_000_000 // len(bit)) + "."
+    began = time.time()
+    scanner.spans(text)
+    assert time.time() - began < 10

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,3 +52,10 @@ def fresh(df: DataFrame, base: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+def log_factorial(x: Column) -> Column:
+    """Natural logarithm of x!; Stirling's series from 16 on."""
+    x = x.cast("double")
+    series = x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(x < 16, F.log(F.factorial(F.least(x, F.lit(16)).cast("int")).cast("double"))).otherwise(series)

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import fresh, text_of, written
+from evidloom.llm.common import fresh, log_factorial, text_of, written
 
 WEIGHTS, MOST = (5, 2, 1), 3
 BLOCKS, SHARDS, SEED = 1024, 16, 7
@@ -64,12 +64,6 @@ def _uniform(*of: Column) -> Column:
     return (F.pmod(F.xxhash64(*of), F.lit(1 << 53)) + 0.5) / float(1 << 53)
 
 
-def _log_factorial(x: Column) -> Column:
-    x = x.cast("double")
-    series = x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
-    return F.when(x < 16, F.log(F.factorial(F.least(x, F.lit(16)).cast("int")).cast("double"))).otherwise(series)
-
-
 def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Column:
     """How many of ``draws`` from ``total``, of which ``good`` are good, are good, at quantile ``u``.
 
@@ -78,7 +72,7 @@ def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Col
     """
 
     def log_choose(n: Column, k: Column) -> Column:
-        return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
+        return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
     def invert(v: Column) -> Column:
         t, g, d = v["t"], v["g"], v["d"]

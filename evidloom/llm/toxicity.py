@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from evidloom.llm.common import text_of
 
 GRAM = 6
-#: Labelled texts of each class that are trained on at most, and the longest one, in bytes.
+#: Defaults of ``train``: labelled texts of each class that are trained on at most, and the longest one, in bytes.
 TOXIC_TEXTS, ORDINARY_TEXTS, LONGEST = 2000, 4000, 200_000
+#: Texts and bytes under which the library has too little to train a dictionary on.
+LEAST_TEXTS, LEAST_BYTES = 10, 4096
 #: Least bytes of each trained dictionary, of them the entropy tables in front, and of the shared ordinary base.
 DICTIONARY, TABLES, BASE = 1000, 200, 8192
 #: The share of chance finds among chosen grams.
@@ -122,11 +124,10 @@ def _cores(texts: list[bytes], keys: np.ndarray, count: np.ndarray) -> bytes:
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
-    """A dictionary trained on the samples, or their text itself where there is too little to train on."""
-    try:
-        return zstandard.train_dictionary(size, samples, k=48, d=6).as_bytes()
-    except zstandard.ZstdError:
+    """A dictionary trained on the samples; what can't make one (see ``LEAST_TEXTS``, ``LEAST_BYTES``) is its own dictionary."""
+    if len(samples) < LEAST_TEXTS or sum(map(len, samples)) < max(LEAST_BYTES, 2 * size):
         return b" ".join(samples)[-size:]
+    return zstandard.train_dictionary(size, samples, k=48, d=6).as_bytes()
 
 
 @dataclass(frozen=True)
@@ -197,13 +198,14 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     return Model(*dictionaries, tuple(w.tolist()))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_texts: int = TOXIC_TEXTS, ordinary_texts: int = ORDINARY_TEXTS, longest: int = LONGEST) -> Model:
     """Fit on a bounded sample of the labelled rows for which ``learn`` holds.
 
-    At most ``TOXIC_TEXTS`` and ``ORDINARY_TEXTS`` distinct texts, the first by a hash of the text, each of at most
-    ``LONGEST`` bytes; rows without a label or text are left out.
+    At most ``toxic_texts`` and ``ordinary_texts`` distinct texts, the first by a hash of the text, each of at most
+    ``longest`` bytes, so the sample has a size bound; near copies among them teach once. Rows without a label or text
+    are left out. Texts that are scored have no such bound.
     """
-    own = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).filter(F.octet_length("t") <= LONGEST).withColumn("h", F.xxhash64("t"))
+    own = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).filter(F.octet_length("t") <= longest).withColumn("h", F.xxhash64("t"))
     marked = labels.filter(learn).select(F.col(id_col).alias("k"), F.col(label_col).alias("y")).filter("y in (0, 1)").distinct()
 
     def sample(y: int, most: int) -> list[str]:
@@ -214,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
         wanted = docs.sparkSession.createDataFrame([(h,) for h in chosen], "h bigint")
         return [r.t for r in sorted(own.select("h", "t").join(F.broadcast(wanted), "h").groupBy("h").agg(F.min("t").alias("t")).collect(), key=lambda r: r.h)]
 
-    return fit(sample(1, TOXIC_TEXTS), sample(0, ORDINARY_TEXTS))
+    return fit(sample(1, toxic_texts), sample(0, ordinary_texts))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:

@@ -69,3 +69,22 @@ def test_many_toxic_words():
         rng.shuffle(text)
         rows.append((i, " ".join(text), int(i % 4 == 0)))
     assert min(right(rows)) >= 0.95
+
+
+def test_held_out_rows_of_the_table(spark):
+    """On labelled rows that were never trained on: the area under the curve, and both kinds of errors."""
+    sf_dir = "/root/testdata/sf0.1"
+    marks = {r.doc_id: r.toxic for r in table(spark, sf_dir, "labels").collect()}
+    rows = [(r.score, marks[r.doc_id], r.predicted) for r in catalog.op9_toxicity(spark, sf_dir).filter("held_out").collect() if r.doc_id in marks]
+    bad, good = ([r for r in rows if r[1] == y] for y in (1, 0))
+    above = sum((b[0] > g[0]) + (b[0] == g[0]) / 2 for b in bad for g in good)
+    assert len(bad) > 50 and above / (len(bad) * len(good)) >= 0.9
+    assert sum(b[2] for b in bad) >= 0.6 * len(bad) and sum(g[2] for g in good) <= 0.02 * len(good)
+
+
+def test_bounds_are_parameters(spark):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in made(400, 3)] + [(1000, "dunce " * 50_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in made(400, 3)] + [(1000, 1)], "doc_id long, toxic int")
+    few = toxicity.train(docs, labels, F.lit(True), toxic_texts=40, ordinary_texts=60, longest=10_000)
+    scored = {r.doc_id: r.toxicity for r in toxicity.score(docs, few).collect()}
+    assert scored[1000] >= 0.5 and sum((scored[i] >= 0.5) == bool(y) for i, _, y in made(400, 3)) >= 0.9 * 400

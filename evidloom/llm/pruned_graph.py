@@ -3,55 +3,76 @@
 Nodes join in rounds that double. Those of a round search the graph so far together, step by step on whole arrays;
 each keeps the neighbours that no kept one is clearly nearer to, and offers itself to them in turn.
 
-Distances come from differences in double precision, so near copies far from the origin keep their order.
+Distances come from differences, never from products, so near copies far from the origin keep their order also in the
+precision that the vectors are stored in; ``scaled`` keeps their squares in range.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-DEGREE, BUILD_BEAM, RELAXED, TOGETHER, STARTS = 24, 40, 1.2, 512, 16
+DEGREE, BUILD_BEAM, RELAXED, TOGETHER, STARTS = 24, 40, 1.2, 2048, 16
+#: Bytes of the table that says which nodes a batch of searches has met.
+MET_BYTES = 64 << 20
+
+
+def scaled(vectors: np.ndarray) -> tuple[np.ndarray, float]:
+    """The vectors divided by a power of two that brings all components to at most one, which changes no digit, and that power."""
+    largest = float(np.abs(vectors).max(initial=0))
+    by = 2.0 ** np.ceil(np.log2(largest)) if largest > 0 else 1.0
+    return vectors / vectors.dtype.type(by), by
+
+
+def together(n: int) -> int:
+    """How many searches over ``n`` nodes go on at once."""
+    return max(16, min(TOGETHER, MET_BYTES // max(n, 1)))
 
 
 def squares(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Squared distances of each row of ``v`` (one list of vectors for each query) to its query."""
-    d = np.subtract(v, q[:, None, :], dtype=np.float64)
+    d = v - q[:, None, :]
     return np.einsum("ijk,ijk->ij", d, d)
 
 
 def beam_search(vectors: np.ndarray, near: np.ndarray, queries: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes (-1: none) and squared distances, nearest first, that a beam of ``width`` holds for each query at its end."""
+    """Nodes (-1: none) that a beam of ``width`` holds for each query at its end, nearest first, and how many nodes each met."""
     nodes_out = np.full((len(queries), width), -1, np.int64)
-    dist_out = np.full((len(queries), width), np.inf)
-    for lo in range(0, len(queries), TOGETHER):
-        q = queries[lo : lo + TOGETHER]
+    met = np.zeros(len(queries), np.int64)
+    many = together(len(vectors))
+    for lo in range(0, len(queries), many):
+        q = queries[lo : lo + many]
         seen = np.zeros((len(q), len(vectors) + 1), bool)
         seen[:, -1] = True  # what -1 points to
         seen[:, starts] = True
-        d = np.concatenate([squares(q[:, None, :], np.broadcast_to(vectors[s], q.shape)) for s in starts] or [np.empty((len(q), 0))], axis=1)
-        by = np.argsort(d, axis=1)[:, :width]
+        first = squares(np.broadcast_to(vectors[starts], (len(q), *vectors[starts].shape)), q)
+        by = np.argsort(first, axis=1)[:, :width]
         nodes = np.full((len(q), width), -1, np.int64)
-        dist = np.full((len(q), width), np.inf)
-        nodes[:, : by.shape[1]], dist[:, : by.shape[1]] = starts[by], np.take_along_axis(d, by, 1)
-        todo = nodes >= 0
+        dist = np.full((len(q), width), np.inf, vectors.dtype)
+        todo = np.full((len(q), width), np.inf, vectors.dtype)  # distances of nodes whose neighbours weren't looked at
+        nodes[:, : by.shape[1]] = starts[by]
+        dist[:, : by.shape[1]] = todo[:, : by.shape[1]] = np.take_along_axis(first, by, 1)
         while True:
-            rows = np.flatnonzero(todo.any(axis=1))
+            at = todo.argmin(axis=1)
+            rows = np.flatnonzero(np.isfinite(todo[np.arange(len(q)), at]))
             if not len(rows):
                 break
-            at = todo[rows].argmax(axis=1)
-            todo[rows, at] = False
-            new = near[nodes[rows, at]]
+            todo[rows, at[rows]] = np.inf
+            new = near[nodes[rows, at[rows]]]
             fresh = ~seen[rows[:, None], new]
             seen[rows[:, None], new] = True
-            d = squares(vectors[new], q[rows])
-            d[~fresh] = np.inf
+            d = np.full(new.shape, np.inf, vectors.dtype)
+            i, j = np.nonzero(fresh)
+            apart = vectors[new[i, j]] - q[rows[i]]
+            d[i, j] = np.einsum("ij,ij->i", apart, apart)
             all_d = np.concatenate([dist[rows], d], axis=1)
-            by = np.argsort(all_d, axis=1)[:, :width]
+            by = np.argpartition(all_d, width - 1, axis=1)[:, :width]
             dist[rows] = np.take_along_axis(all_d, by, 1)
-            nodes[rows] = np.where(np.isinf(dist[rows]), -1, np.take_along_axis(np.concatenate([nodes[rows], new], axis=1), by, 1))
-            todo[rows] = np.take_along_axis(np.concatenate([todo[rows], fresh], axis=1), by, 1) & (nodes[rows] >= 0)
-        nodes_out[lo : lo + len(q)], dist_out[lo : lo + len(q)] = nodes, dist
-    return nodes_out, dist_out
+            nodes[rows] = np.take_along_axis(np.concatenate([nodes[rows], new], axis=1), by, 1)
+            todo[rows] = np.take_along_axis(np.concatenate([todo[rows], d], axis=1), by, 1)
+        by = np.argsort(dist, axis=1)
+        nodes_out[lo : lo + len(q)] = np.where(np.isfinite(np.take_along_axis(dist, by, 1)), np.take_along_axis(nodes, by, 1), -1)
+        met[lo : lo + len(q)] = seen[:, :-1].sum(axis=1)
+    return nodes_out, met
 
 
 def robust_prune(vectors: np.ndarray, points: np.ndarray, candidates: np.ndarray, degree: int, relaxed: float) -> np.ndarray:
@@ -60,12 +81,12 @@ def robust_prune(vectors: np.ndarray, points: np.ndarray, candidates: np.ndarray
     Candidates (-1: none) may repeat and may hold the point; at most ``degree`` stay, padded with -1.
     """
     out = np.full((len(points), degree), -1, np.int64)
-    for lo in range(0, len(points), TOGETHER):
-        p, c = points[lo : lo + TOGETHER], candidates[lo : lo + TOGETHER]
+    for lo in range(0, len(points), 512):
+        p, c = points[lo : lo + 512], candidates[lo : lo + 512]
         c = np.sort(np.where(c == p[:, None], -1, c), axis=1)
         alive = c >= 0
         alive[:, 1:] &= c[:, 1:] != c[:, :-1]
-        v = np.subtract(vectors[c], vectors[p][:, None, :], dtype=np.float64)  # the point is the origin
+        v = vectors[c] - vectors[p][:, None, :]  # the point is the origin
         d = np.einsum("bij,bij->bi", v, v)
         between = d[:, :, None] + d[:, None, :] - 2 * np.matmul(v, v.transpose(0, 2, 1))
         rows = np.arange(len(p))
@@ -92,7 +113,7 @@ def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, rel
     near = np.full((n, degree), -1, np.int64)
     done = min(n, 1)
     while done < n:
-        new = np.arange(done, min(n, 2 * done, done + TOGETHER))
+        new = np.arange(done, min(n, 2 * done, done + together(n)))
         found, _ = beam_search(vectors[:done], near[:done], vectors[new], entry_points(done, beam), beam)
         # those of a round see each other too: the next few by number, which are there by chance
         peers = new[0] + (new[:, None] - new[0] + np.arange(1, 5)) % len(new)

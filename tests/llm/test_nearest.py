@@ -43,7 +43,7 @@ def test_shards_and_copies(spark):
     v = np.concatenate([rng.normal(size=(2500, 16)) + 4 * rng.normal(size=16), np.repeat(rng.normal(size=(1, 16)), 400, axis=0), rng.normal(size=(2100, 16))]).astype(np.float32)
     ids = rng.permutation(len(v)).tolist()
     df = spark.createDataFrame(list(zip(ids, v.tolist(), strict=True)), "vec_id long, embedding array<float>").repartition(4)
-    rows = nearest.search(nearest.index(df, shard_rows=1500), df.filter("vec_id % 50 = 0"), block_rows=30).collect()
+    rows = nearest.search(nearest.index(df, shard_bytes=1500 * 64, shards=1), df.filter("vec_id % 50 = 0")).collect()
     want = brute(ids, v, [i for i in ids if i % 50 == 0])
     held(rows, want, 0.95)
     hot = {i for i, x in zip(ids, range(len(v)), strict=True) if 2500 <= x < 2900}
@@ -74,3 +74,14 @@ def test_near_copies(spark, norm, jitter, kind):
     asked = sorted(ids[:1000])[::20]
     rows = nearest.search(nearest.index(df), df.filter(F.col("vec_id").isin(asked))).collect()
     held(rows, brute(ids, v, asked), 0.95)
+
+
+def test_huge_and_tiny_components(spark):
+    rng = np.random.default_rng(3)
+    for size, kind in ((1e30, "float"), (1e-30, "float"), (1e200, "double")):
+        v = (rng.normal(size=(600, 8)) * size).astype(np.float32 if kind == "float" else np.float64)
+        df = spark.createDataFrame(list(zip(range(600), v.tolist(), strict=True)), f"vec_id long, embedding array<{kind}>")
+        got = nearest.search(nearest.index(df), df.filter("vec_id = 100")).collect()
+        near = v.astype(np.float64) / size
+        d = ((near - near[100]) ** 2).sum(axis=1)
+        assert len({r.vec_id for r in got} & set(np.argsort(d)[1:11].tolist())) >= 9

@@ -7,15 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm import chat_format, jaccard_join, mixing, nearest, quality_rules, secrets, toxicity
+from evidloom.llm import chat_format, jaccard_join, mixing, nearest, quality_rules, secrets, suffix_dedup, toxicity
 from evidloom.llm.bpe_codec import encode_documents
 from evidloom.llm.common import table, written
-from evidloom.llm.suffix_dedup import remove_repeats
 from evidloom.llm.token_counts import count_tokens
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +63,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.ORACLE, "op4_secret_scan": secrets.ORACLE, "op6_chat_format": chat_format.ORACLE}
+    return {
+        "op1_suffix_dedup": suffix_dedup.ORACLE,
+        "op2_quality_rules": quality_rules.ORACLE,
+        "op4_secret_scan": secrets.ORACLE,
+        "op5_jaccard_join": jaccard_join.ORACLE,
+        "op6_chat_format": chat_format.ORACLE,
+    }

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; only where the session names none (tests, local runs) one of our own."""
+    """The shared folder that the session names. Only a session in one process may have one of its own instead."""
     found = spark.conf.get(SHARED_DIR, None)
     if not found:
-        found = "/tmp/checkpoints"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"{SHARED_DIR} must name a folder that the driver and all executors share")
+        found = os.path.join(tempfile.gettempdir(), "checkpoints")
     return found
 
 
@@ -33,7 +38,16 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evidloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote; for tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(col: str | Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import written
+from evidloom.llm.common import discard, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -29,12 +29,16 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(vertex, component): the smallest vertex reachable, for every vertex of ``edges`` (u, v); loops are ignored.
 
-    Each round is written to shared storage; the number of rounds grows with the logarithm of the longest path.
-    Vertices without an edge to another are left out.
+    Each round is written to shared storage and the one before deleted; the number of rounds grows with the logarithm of
+    the longest path. Vertices without an edge to another are left out.
     """
     now, seen = written(edges.select("u", "v").filter("u <> v").distinct()), None
     while True:  # ends when a round changes nothing
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
-            return now.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("vertex"), F.col("v").alias("component"))).distinct()
-        seen, now = state, written(_small(_large(now)))
+            found = written(now.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("vertex"), F.col("v").alias("component"))).distinct())
+            discard(now)
+            return found
+        seen, last = state, now
+        now = written(_small(_large(last)))
+        discard(last)

@@ -5,12 +5,12 @@ that have them (counted exactly, in buckets that each block sends four bytes for
 Two sets of similarity t share a shingle among the first ``n - ceil(t n) + 1`` of each, so only classes with a
 shared shingle there are looked at; shingles of one class are never sent on.
 
-Classes with identical prefixes and size are one group. A list of groups stands under each prefix shingle. Links
-come in rounds: in each, a member is verified against few others of its lists (those with the fewest shingles of
-their own, some by hash), never all; after each, components are taken, and a list whose members are in one component
-is done. What lists are left with members in several components are compared in full, but for pairs that sizes,
-places in the prefix or an equal component rule out. So every link between different components is found, and a
-group of copies costs a few pairs for each copy.
+Classes with identical prefixes and size are one group. A list of groups stands under each prefix shingle; pairs of
+groups are filtered by size, place in the prefix and component, then expanded to members and verified. Links come in
+rounds: in each, a group meets few others of its lists (those with the fewest shingles of their own, some by hash),
+never all; after each, components are taken, and a list whose members are in one component is done. What lists are left
+with members in several components are compared in full, long lists chunk by chunk. So every link between different
+components is found, and a group of copies costs a few pairs for each copy. ``similar`` gives all links instead.
 """
 
 from __future__ import annotations
@@ -23,12 +23,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import pieces_of, written
+from evidloom.llm.common import discard, pieces_of, written
 from evidloom.llm.components import components
 from evidloom.llm.shingles import shingle_sets, signature
 
 PERCENT = 80
-#: Partners for each member in each round before what is left is compared in full.
+#: Groups of a list that one task compares with as many others.
+CHUNK = 512
+#: How many blocks' bytes a bucket of shingles stands for; a block sends rows only to buckets that it has a shingle for.
+COUNTED = 4
+#: Partners for each group in each round before what is left is compared in full.
 ROUNDS = (6,)
 ROUTED = "block int, bucket int, keys binary, counts binary"
 SETS = "vid bigint, n int, unique int, k1 bigint, k2 bigint, k int, tokens array<bigint>"
@@ -69,9 +73,11 @@ def _block(docs: pa.Table, chosen: dict[bytes, int], size: int) -> tuple[list[in
     return vids, sets
 
 
-def _bounds(distinct: np.ndarray, buckets: int) -> np.ndarray:
+def _buckets(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that have one of the shingles (in order), and where each begins and the last one ends."""
     bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    return np.searchsorted(bucket, np.arange(buckets + 1))
+    full, at = np.unique(bucket.astype(np.int64), return_index=True)
+    return full, np.append(at, len(distinct))
 
 
 def candidate_sets(docs: DataFrame, classes: DataFrame, n: int, size: int, percent: int) -> DataFrame:
@@ -87,10 +93,11 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, n: int, size: int, perce
     def send(key, docs, classes):
         sets = _block(docs, named(classes), size)[1]
         distinct, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        at, low, few = _bounds(distinct, n), distinct.astype(np.uint32), np.minimum(count, 255).astype(np.uint8)
-        full = [b for b in range(n) if at[b + 1] > at[b]]
-        block = key[0].as_py()
-        return pa.table([pa.array([block] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([low[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()), pa.array([few[at[b] : at[b + 1]].tobytes() for b in full], pa.binary())], ["block", "bucket", "keys", "counts"])
+        # A block's share of a count is cut at 255; only the order of shingles depends on it, never which are shared.
+        low, few = distinct.astype(np.uint32), np.minimum(count, 255).astype(np.uint8)
+        full, at = _buckets(distinct, n)
+        cut = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+        return pa.table([pa.array([key[0].as_py()] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([low[i:j].tobytes() for i, j in cut], pa.binary()), pa.array([few[i:j].tobytes() for i, j in cut], pa.binary())], ["block", "bucket", "keys", "counts"])
 
     def count(key, rows):
         """Steps of an eighth of a power of two of how many classes have each shingle; 0 for one."""
@@ -109,9 +116,9 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, n: int, size: int, perce
         if sets:
             everything = np.concatenate(sets)
             distinct, own = np.unique(everything, return_inverse=True)
-            at = _bounds(distinct, n)
+            full, at = _buckets(distinct, n)
             step = np.zeros(len(distinct), np.uint8)
-            for b, x in zip(replies.column("bucket").to_pylist(), replies.column("counts").to_pylist(), strict=True):
+            for b, x in zip(np.searchsorted(full, replies.column("bucket").to_numpy()).tolist(), replies.column("counts").to_pylist(), strict=True):
                 step[at[b] : at[b + 1]] = np.frombuffer(x, np.uint8)
             step = step[own]
             end = 0
@@ -171,21 +178,27 @@ def links(sets: DataFrame, percent: int, rounds: tuple[int, ...] = ROUNDS) -> Da
     leads = met.filter(_sizes_agree(F.col("n"), F.col("n_v"), percent) & _places_agree(here, there, percent)).groupBy(F.col("gid").alias("u")).agg(F.min_by("v", _few_own("pos_v", "v", 0)).alias("v"))
     within = members.filter("vid <> gid").select(F.col("vid").alias("u"), F.col("gid").alias("v"))
     edges = written(verified(leads.unionByName(within), sets, percent))
-    component = written(components(edges))
-    alive = lists.join(tokens.select("token"), "token")
+    component = components(edges)
+    alive = written(lists.join(tokens.select("token"), "token").select("token", "gid", "n", "pos"))
     for many in (*rounds, None):
-        of = written(members.join(component.withColumnRenamed("vertex", "vid"), "vid", "left").select("vid", "gid", "n", F.coalesce("component", "vid").alias("c")))
-        groups = of.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-        open_ = alive.join(groups, "gid").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("token")
-        alive = written(alive.join(open_, "token"))
-        if alive.isEmpty():
+        of = written(members.join(component.withColumnRenamed("vertex", "vid"), "vid", "left").select("vid", "gid", F.coalesce("component", "vid").alias("c")))
+        groups = written(of.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")))
+        placed = alive.select("token", "gid", "n", "pos").join(groups, "gid")
+        open_ = placed.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("token")
+        entries = written(placed.join(open_, "token"))
+        if entries.isEmpty():
+            discard(of, groups, entries)
             break
-        entries = alive.select("token", "gid", "pos").join(of, "gid").select("token", "vid", "n", "pos", "c")
-        pairs = _some(entries, many, percent) if many else _all(written(entries), percent)
-        edges = written(verified(written(pairs), sets, percent))
-        if not edges.isEmpty():
-            known = component.select(F.col("vertex").alias("u"), F.col("component").alias("v"))
-            component = written(components(known.unionByName(edges)))
+        pairs = written(_some(entries, of, many, percent) if many else _expanded(written(_all(entries, percent)), of))
+        more = written(verified(pairs, sets, percent))
+        discard(of, groups, pairs, alive)
+        alive = entries
+        if not more.isEmpty():
+            known, before = component.select(F.col("vertex").alias("u"), F.col("component").alias("v")), component
+            component = components(known.unionByName(more))
+            discard(before)
+        discard(more)
+    discard(members, lists, edges, alive)
     return component
 
 
@@ -194,53 +207,104 @@ def _few_own(pos: str, vid: str, seed: int) -> Column:
     return F.shiftleft(F.col(pos).cast("bigint"), 32) + F.pmod(F.xxhash64(F.lit(seed), F.col(vid)), F.lit(1 << 32))
 
 
-def _some(entries: DataFrame, many: int, percent: int) -> DataFrame:
-    """For each member at most ``many`` partners of other components in its lists: half with few shingles of their own, half by hash.
+def _apart(x: str, y: str) -> Column:
+    """Whether two groups, given by the least and greatest component of their members, aren't all in one component."""
+    return ~((F.col(f"{x}lo") == F.col(f"{x}hi")) & (F.col(f"{y}lo") == F.col(f"{y}hi")) & (F.col(f"{x}lo") == F.col(f"{y}lo")))
 
-    Copies of one text with changes of their own are all nearest to the ones with the fewest changes.
+
+def _fits(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and places of two entries of a list let their sets be similar, and their components may still be joined."""
+    a, b = ({"n": F.col(f"{p}n"), "pos": F.col(f"{p}pos")} for p in (x, y))
+    return _apart(x, y) & _sizes_agree(a["n"], b["n"], percent) & _places_agree(a, b, percent)
+
+
+def _some(entries: DataFrame, of: DataFrame, many: int, percent: int) -> DataFrame:
+    """For each group at most ``many`` others of its lists: half with few shingles of their own, half by hash.
+
+    Each member is paired with the other group's first one. Copies of one text with changes of their own are all
+    nearest to the ones with the fewest changes.
     """
-    seeds = range(many)
-    fields = F.struct(F.col("vid"), F.col("n"), F.col("pos"), F.col("c"))
-    picks = entries.groupBy("token").agg(F.array(*(F.min_by(fields, F.xxhash64(F.lit(many * 100 + i), F.col("vid")) if i % 2 else _few_own("pos", "vid", many * 100 + i)) for i in seeds)).alias("picks"))
-    met = entries.join(picks, "token").select("vid", "n", "pos", "c", F.posexplode("picks").alias("i", "y"))
-    x, y = {"n": F.col("n"), "pos": F.col("pos")}, {"n": F.col("y.n"), "pos": F.col("y.pos")}
-    fit = met.filter((F.col("c") != F.col("y.c")) & _sizes_agree(x["n"], y["n"], percent) & _places_agree(x, y, percent))
-    chosen = fit.groupBy("vid", "i").agg(F.min_by("y.vid", F.xxhash64("i", "y.vid")).alias("other"))
-    return chosen.select(F.greatest("vid", "other").alias("u"), F.least("vid", "other").alias("v")).distinct()
+    fields = F.struct("gid", "n", "pos", "lo", "hi")
+    picks = entries.groupBy("token").agg(F.array(*(F.min_by(fields, F.xxhash64(F.lit(many * 100 + i), F.col("gid")) if i % 2 else _few_own("pos", "gid", many * 100 + i)) for i in range(many))).alias("picks"))
+    met = entries.join(picks, "token").select("gid", "n", "pos", "lo", "hi", F.posexplode("picks").alias("i", "y"))
+    fit = met.filter((F.col("gid") != F.col("y.gid")) & _fits("", "y.", percent))
+    chosen = fit.groupBy("gid", "i").agg(F.min_by("y.gid", F.xxhash64("i", "y.gid")).alias("v")).select("gid", "v")
+    both = chosen.unionByName(chosen.select(F.col("v").alias("gid"), F.col("gid").alias("v"))).distinct()
+    pairs = both.join(of.select("gid", F.col("vid").alias("u"), "c"), "gid").join(of.select(F.col("vid").alias("v"), F.col("c").alias("d")), "v").filter("c <> d")
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def _all(entries: DataFrame, percent: int) -> DataFrame:
-    """All pairs of members of different components that share a list, as far as sizes and places allow.
+    """All pairs of groups (g, h) that share a list and fit, a group with itself too if its members are apart.
 
-    A list's largest component is only met by the members of others, never by itself.
+    A list of many groups is cut into chunks by hash, and each pair of chunks meets under a key of its own. Groups in
+    a list's largest component are only met by others, never by themselves.
     """
-    largest = entries.groupBy("token", "c").agg(F.count(F.lit(1)).alias("many")).groupBy("token").agg(F.max_by("c", "many").alias("largest"))
-    left = entries.join(largest, "token").filter("c <> largest")
-    right = entries.select(F.col("token").alias("same"), F.col("vid").alias("v"), F.col("n").alias("n_v"), F.col("pos").alias("pos_v"), F.col("c").alias("d"))
-    x, y = {"n": F.col("n"), "pos": F.col("pos")}, {"n": F.col("n_v"), "pos": F.col("pos_v")}
-    once = (F.col("d") == F.col("largest")) | (F.col("vid") < F.col("v"))
-    met = left.join(right, (F.col("token") == F.col("same")) & (F.col("c") != F.col("d")) & once & _sizes_agree(x["n"], y["n"], percent) & _places_agree(x, y, percent))
-    return met.select(F.greatest("vid", "v").alias("u"), F.least("vid", "v").alias("v")).distinct()
+    whole = F.when(F.col("lo") == F.col("hi"), F.col("lo"))
+    sizes = entries.groupBy("token", whole.alias("c")).agg(F.count(F.lit(1)).alias("many"))
+    lists = sizes.groupBy("token").agg(F.max_by("c", F.when(F.col("c").isNotNull(), F.col("many"))).alias("largest"), F.ceil(F.sum("many") / CHUNK).cast("int").alias("chunks"))
+    cut = entries.join(lists, "token").withColumn("chunk", F.pmod(F.xxhash64("gid"), F.col("chunks")).cast("int")).withColumn("inside", F.coalesce(whole == F.col("largest"), F.lit(False)))
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    left = cut.filter(~F.col("inside")).withColumn("j", every).select("token", F.col("chunk").alias("i"), "j", "gid", "n", "pos", "lo", "hi")
+    right = cut.withColumn("i", every).select("token", "i", F.col("chunk").alias("j"), F.struct("gid", "n", "pos", "lo", "hi", "inside").alias("y"))
+    once = F.col("y.inside") | (F.col("gid") <= F.col("y.gid"))
+    met = left.join(right, ["token", "i", "j"]).filter(once & _fits("", "y.", percent))
+    return met.select(F.greatest("gid", "y.gid").alias("g"), F.least("gid", "y.gid").alias("h")).distinct()
+
+
+def _expanded(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """The members (u, v) of pairs of groups that are in different components."""
+    a, b = of.select(F.col("gid").alias("g"), F.col("vid").alias("x"), "c"), of.select(F.col("gid").alias("h"), F.col("vid").alias("y"), F.col("c").alias("d"))
+    met = pairs.join(a, "g").join(b, "h").filter((F.col("c") != F.col("d")) & ((F.col("g") != F.col("h")) | (F.col("x") < F.col("y"))))
+    return met.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+
+
+def all_links(sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (u, v) of classes in ``sets`` that are linked, u above v: every pair of groups, expanded and verified."""
+    own = sets.select("vid", "k1", "k2")
+    of = written(own.join(own.groupBy("k1", "k2").agg(F.min("vid").alias("gid")), ["k1", "k2"]).select("vid", "gid", F.col("vid").alias("c")))
+    groups = of.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    prefixes = sets.join(groups, sets["vid"] == groups["gid"]).select("gid", "n", "unique", "lo", "hi", F.posexplode(F.slice("tokens", F.lit(1), F.col("k"))).alias("p", "token"))
+    entries = written(prefixes.select("token", "gid", "n", (F.col("unique") + F.col("p")).alias("pos"), "lo", "hi"))
+    return verified(written(_expanded(written(_all(entries, percent)), of)), sets, percent)
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, block_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, sig), classes (sig, id, rows, vid), and the sets of classes that may have a partner."""
+    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("place", F.xxhash64("doc_id", "text"))
+    rows = written(signatures(own, size, "text", "sig").select("doc_id", F.col("sig_n").alias("n"), "sig", "place"))
+    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = pieces_of(total, block_bytes)
+    block = F.pmod(F.col("place"), F.lit(blocks)).cast("int").alias("block")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place"))
+    classes = rows.filter("sig is not null").groupBy("sig").agg(first.alias("first"), F.count(F.lit(1)).alias("rows"))
+    classes = written(classes.select("sig", F.col("first.doc_id").alias("id"), "first.place", "rows").withColumn("vid", F.monotonically_increasing_id()))
+    sets = candidate_sets(own.select(block, "text"), classes.select(block, "sig", "vid"), pieces_of(total, COUNTED * block_bytes), size, percent)
+    return rows, classes, written(sets)
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n, sig), and classes (sig, id, rows, component)."""
-    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = written(signatures(own, size, "text", "sig").select("doc_id", F.col("sig_n").alias("n"), "sig"))
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = pieces_of(total, block_bytes)
-    block = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(blocks)).cast("int")
-    classes = rows.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows"))
-    classes = written(classes.withColumn("vid", F.monotonically_increasing_id()))
-    chosen = classes.withColumn("block", F.pmod(F.xxhash64(F.col("id")), F.lit(blocks)).cast("int"))
-    sets = written(candidate_sets(own.select(block.alias("block"), "text"), chosen.select("block", "sig", "vid"), blocks, size, percent))
+    """Rows (doc_id, n, sig), and classes (sig, id, rows, component_id, first)."""
+    rows, classes, sets = _sets(docs, id_col, text_col, size, percent, block_bytes)
     found = links(sets, percent)
+    discard(sets)
     least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.hex("sig").alias("sig")))
     joined = classes.join(found.select(F.col("vertex").alias("vid"), "component"), "vid", "left").withColumn("component", F.coalesce("component", "vid"))
     heads = joined.groupBy("component").agg(least.alias("head"))
     return rows, joined.join(heads, "component").select("sig", "id", "rows", F.col("head.id").alias("component_id"), (F.col("head.sig") == F.hex("sig")).alias("first"))
 
 
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = PERCENT, block_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
+    """The join itself: all links (class_u, class_v) between different texts, and the rows (doc_id, class) of the classes.
+
+    A class is a set of shingles; its rows are all linked with each other and with the rows of linked classes. Rows
+    without a word have no class.
+    """
+    rows, classes, sets = _sets(docs, id_col, text_col, size, percent, block_bytes)
+    found = all_links(sets, percent).select(F.col("u").alias("class_u"), F.col("v").alias("class_v"))
+    return found, rows.join(classes.select("sig", F.col("vid").alias("class")), "sig", "left").select("doc_id", "class")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = PERCENT, block_bytes: int = 8 << 20) -> DataFrame:
     """One row for each row of ``docs``: its id, ``n_shingles`` and ``component_id``.
 
@@ -266,3 +330,18 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = signed.join(copies, (F.col("own_sig") == F.col("head_sig")) & F.col("own_id").eqNullSafe(F.col("head_id")), "left").filter("own_sig is null or copies is not null")
     once = kept.filter("copies is null or copies = 1")
     return once.unionByName(kept.filter("copies > 1").dropDuplicates(["own_sig"])).select("row.*")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLE = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+five AS (SELECT r, {', '.join(f"unnest(w[{i + 1}:len(w) - {4 - i}]) AS w{i}" for i in range(5))} FROM d WHERE len(w) >= 5),
+sh AS MATERIALIZED (SELECT DISTINCT r, concat_ws(' ', w0, w1, w2, w3, w4) AS s FROM five UNION ALL SELECT r, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM sh GROUP BY r),
+pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y FROM pairs JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, y FROM edges UNION SELECT reach.x, edges.y FROM reach JOIN edges ON edges.x = reach.y),
+least_ AS (SELECT x, min(doc_id) AS m FROM reach JOIN d ON d.r = y GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, m) AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN least_ ON x = r
+"""

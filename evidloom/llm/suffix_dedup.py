@@ -4,7 +4,7 @@ Documents are dealt into blocks. Every ``length``-byte string of a text is owned
 16-byte grams, so equal strings, wherever they are, share that hash; neighbouring strings with one owner form a
 run. Blocks exchange their owners' hashes by bucket and learn which other documents have them. Only runs with such
 an owner travel: each block sends one copy of each distinct run with its smallest document id, a bucket orders all
-suffixes of its runs (deep-shallow) and answers one bit for each string, and the blocks cut the texts.
+suffixes of its runs (words of eight bytes sorted to a shallow depth, then blind tries) and answers one bit for each string, and the blocks cut the texts.
 
 What moves is a few bytes for each hash and the text of repeated runs, whatever the number of copies: a passage
 that a third of all documents hold is one run for each block.
@@ -26,6 +26,8 @@ GRAM = 16
 C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes hashed at a time, so that arrays of 8 bytes for each stay small.
 CHUNK = 1 << 20
+#: How many blocks' bytes a bucket of hashes stands for; a block sends rows only to buckets that it has a hash for.
+HASHED = 8
 NO_ID = np.iinfo(np.int64).max
 
 ROUTED = "block int, bucket int, kind int, hashes array<bigint>, lens array<int>, data binary"
@@ -38,6 +40,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _bucket(value: np.ndarray, buckets: int) -> np.ndarray:
+    return (((value >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
 class Runs:
     """The runs of one block's texts, in order of document id; ``length`` is the size of the strings."""
 
@@ -96,7 +102,7 @@ class Runs:
         return at + base, stop + base, h[at], doc + lo
 
     def owners(self, buckets: int):
-        """Distinct values in order, whether two documents here have each, each run's value, and bounds of buckets."""
+        """Distinct values in order, whether two documents here have each, each run's value, and the buckets that have any, with bounds."""
         by = np.argsort(self.value, kind="stable")
         v, d = self.value[by], self.ids[self.doc[by]]
         first = np.append(True, v[1:] != v[:-1])[: len(v)]
@@ -105,19 +111,20 @@ class Runs:
         own = np.empty(len(v), np.int64)
         own[by] = np.cumsum(first) - 1
         distinct = v[start]
-        bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        return distinct, d[start] != d[last[: len(start)]], own, np.searchsorted(bucket, np.arange(buckets + 1))
+        full, at = np.unique(_bucket(distinct, buckets), return_index=True)
+        return distinct, d[start] != d[last[: len(start)]], own, full, np.append(at, len(distinct))
 
-    def shared(self, replies: list[dict], buckets: int):
-        """Of the runs whose owner another document has: bucket, number and first document of the distinct run, and the distinct runs by bucket."""
-        distinct, _, own, bounds = self.owners(buckets)
+    def shared(self, replies: list[dict], buckets: int, groups: int):
+        """Of the runs whose owner another document has: group, number and first document of the distinct run, and the distinct runs by group."""
+        distinct, _, own, full, bounds = self.owners(buckets)
         known = np.zeros(len(distinct), bool)
         for r in replies:
             if r["kind"] == 0:
-                lo, hi = bounds[r["bucket"]], bounds[r["bucket"] + 1]
+                i = int(np.searchsorted(full, r["bucket"]))
+                lo, hi = bounds[i], bounds[i + 1]
                 known[lo:hi] = np.unpackbits(np.frombuffer(r["data"], np.uint8), count=hi - lo)
         runs = np.flatnonzero(known[own]) if len(own) else np.empty(0, np.int64)
-        bucket = np.searchsorted(bounds, own[runs], "right") - 1
+        bucket = _bucket(self.value[runs], groups)
         kept: dict[int, dict[bytes, int]] = {}
         firsts: dict[int, list[int]] = {}
         number = np.empty(len(runs), np.int64)
@@ -154,17 +161,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"length must be over {GRAM}")
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = pieces_of(total, block_bytes)
+    n, m = pieces_of(total, block_bytes), pieces_of(total, HASHED * block_bytes)
     blocks = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
     def send_owners(key, docs):
-        distinct, multi, _, bounds = Runs(docs, length).owners(n)
-        rows = []
-        for b in range(n):
-            lo, hi = bounds[b], bounds[b + 1]
-            if hi > lo:
-                rows.append({"block": key[0].as_py(), "bucket": b, "kind": 0, "hashes": distinct[lo:hi].view(np.int64), "data": np.packbits(multi[lo:hi]).tobytes()})
-        return _rows(rows)
+        distinct, multi, _, full, bounds = Runs(docs, length).owners(m)
+        parts = zip(full.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
+        return _rows([{"block": key[0].as_py(), "bucket": b, "kind": 0, "hashes": distinct[lo:hi].view(np.int64), "data": np.packbits(multi[lo:hi]).tobytes()} for b, lo, hi in parts])
 
     def find_shared(key, rows):
         lists = rows.column("hashes").combine_chunks()
@@ -180,7 +183,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def send_runs(key, docs, replies):
         if not docs.num_rows:
             return _rows([])
-        _, _, _, _, kept, firsts = Runs(docs, length).shared(replies.to_pylist(), n)
+        _, _, _, _, kept, firsts = Runs(docs, length).shared(replies.to_pylist(), m, n)
         return _rows([{"block": key[0].as_py(), "bucket": b, "kind": 1, "hashes": firsts[b], "lens": [len(x) for x in seen], "data": b"".join(seen)} for b, seen in kept.items()])
 
     def order_runs(key, rows):
@@ -207,7 +210,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
         if docs.num_rows:
             found, replies = Runs(docs, length), replies.to_pylist()
-            runs, bucket, number, first, kept, _ = found.shared(replies, n)
+            runs, bucket, number, first, kept, _ = found.shared(replies, m, n)
             gone = np.zeros(len(found.buf) + 1, np.int32)
             answers = {r["bucket"]: r["data"] for r in replies if r["kind"] == 1}
             by = np.argsort(bucket, kind="stable")
@@ -241,3 +244,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = by_block.applyInArrow(send_owners, ROUTED).groupBy("bucket").applyInArrow(find_shared, ROUTED).select("block", "bucket", "kind", "data")
     earlier = by_block.cogroup(shared.groupBy("block")).applyInArrow(send_runs, ROUTED).groupBy("bucket").applyInArrow(order_runs, ROUTED).select("block", "bucket", "kind", "data")
     return by_block.cogroup(shared.unionByName(earlier).groupBy("block")).applyInArrow(cut_texts, RESULT)
+
+
+#: The contract in DuckDB, on hexadecimal texts cut into pieces of 500 places, so that no string is long.
+ORACLE = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, (length(h) // 2)::BIGINT AS n FROM documents),
+pieces AS (SELECT r, doc_id, p, substr(h, 1000 * p + 1, 1098) AS piece, least(500, n - 49 - 500 * p) AS many FROM (SELECT *, unnest(range(0, (n - 49 + 499) // 500)) AS p FROM d WHERE n >= 50)),
+strings AS MATERIALIZED (SELECT r, doc_id, 500 * p + i AS pos, substr(piece, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(0, many)) AS i FROM pieces)),
+first_ AS (SELECT s, min(doc_id) AS m FROM strings GROUP BY s HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT r, pos FROM strings JOIN first_ USING (s) WHERE m < doc_id),
+marked AS (SELECT *, CASE WHEN pos - lag(pos) OVER w <= 50 THEN 0 ELSE 1 END AS new FROM gone WINDOW w AS (PARTITION BY r ORDER BY pos)),
+runs AS (SELECT r, run, min(pos) AS lo, max(pos) + 50 AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY pos) AS run FROM marked) GROUP BY r, run),
+gaps AS (SELECT r, run, hi, hi - lo AS removed, substr(h, 2 * coalesce(lag(hi) OVER w, 0) + 1, 2 * (lo - coalesce(lag(hi) OVER w, 0))) AS gap FROM runs JOIN d USING (r) WINDOW w AS (PARTITION BY r ORDER BY run)),
+cut AS (SELECT r, sum(removed)::BIGINT AS removed, count(*) AS spans, max(hi) AS hi, string_agg(gap, '' ORDER BY run) AS kept FROM gaps GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE kept || substr(h, 2 * hi + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""

@@ -54,8 +54,8 @@ def _groups(head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def deep_shallow_order(buf: np.ndarray, pos: np.ndarray, length: int, shallow: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes and, for each place in that order, whether it differs from the one before.
 
-    ``shallow`` bytes (a multiple of 8) are ordered by multikey quicksort: one 8-byte character at a time,
-    each group of equal characters going on to the next. Groups that still agree are ordered by a blind
+    ``shallow`` bytes (a multiple of 8) are ordered as multikey quicksort does, one character at a time and each group
+    of equal characters going on to the next; a character has 8 bytes, and numpy's sort of numbers partitions it. Groups that still agree are ordered by a blind
     trie, built level by level for all groups at once: a node keeps only the depth at which its members
     first part, found against one member, and the byte there; skipped bytes are never looked at again.
     """

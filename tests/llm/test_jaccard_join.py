@@ -4,6 +4,7 @@ import pytest
 from evidloom.llm import catalog, jaccard_join
 from evidloom.llm.common import table
 from evidloom.llm.components import components
+from oracle import check
 
 
 def shingles(text, size=5):
@@ -101,3 +102,29 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     want = {i: find(i) for e in edges if e[0] != e[1] for i in e}
     assert dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect())) == want
+
+
+def test_similar_gives_all_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHUNK", 7)
+    docs = chains(random.Random(8), 25) + [(900, None), (901, " "), (902, "a b c d e f"), (903, "A b c d e f")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    links, rows = jaccard_join.similar(df, block_bytes=2000)
+    of = {r.doc_id: r["class"] for r in rows.collect()}
+    assert of[900] is None and of[901] is None and of[902] == of[903]
+    got = {frozenset((r.class_u, r.class_v)) for r in links.collect()}
+    sets = {of[d]: shingles(t) for d, t in docs if shingles(t)}
+    want = {frozenset((a, b)) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert got == want
+
+
+def test_long_lists_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHUNK", 5)
+    monkeypatch.setattr(jaccard_join.links, "__defaults__", ((),))
+    docs = chains(random.Random(4), 25)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert got(jaccard_join.near_duplicates(df, block_bytes=2000)) == brute(docs)
+
+
+def test_equals_sql(spark):
+    d = "/root/testdata/sf0.01"
+    check(catalog.op5_jaccard_join(spark, d), d, jaccard_join.ORACLE)

@@ -3,8 +3,9 @@ import random
 
 import numpy as np
 from evidloom.llm.common import table
-from evidloom.llm.suffix_dedup import remove_repeats
+from evidloom.llm.suffix_dedup import ORACLE, remove_repeats
 from evidloom.llm.suffix_order import deep_shallow_order, padded
+from oracle import check
 
 
 def brute(rows, length):
@@ -61,3 +62,8 @@ def test_whole_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted(tuple(r) for r in remove_repeats(docs, block_bytes=1 << 16).collect()) == brute(rows, 50)
+
+
+def test_equals_sql(spark):
+    d = "/root/testdata/sf0.01"
+    check(remove_repeats(table(spark, d, "documents")), d, ORACLE)

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidloom.llm import bpe_codec, jaccard_join, mixing, secrets, toxicity
-from evidloom.llm.common import table, written
+from evidloom.llm.common import fresh, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on all labels, doesn't reject."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return toxicity.score(docs, model, name="toxicity_score").filter("toxicity_score < 0.5").drop("toxicity_score")
+    name = fresh(docs, "toxicity")
+    return toxicity.score(docs, model, name=name).filter(F.col(name) < 0.5).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +23,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by their kinds and ``n_chars`` counted anew."""
-    return secrets.scan(docs, redact=True, name="found_secrets").drop("found_secrets").withColumn("n_chars", F.length("text").cast("bigint"))
+    name = fresh(docs, "secrets")
+    return secrets.scan(docs, redact=True, name=name).drop(name).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

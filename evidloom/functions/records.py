@@ -19,7 +19,7 @@ def last_line_record(c: Column, schema: str) -> Column:
 
 def piped(c: Column) -> Column:
     """``SUCCESS|key:value|...`` as a map; a value ends at its next colon; null for other lines."""
-    pairs = F.transform(F.slice(F.split(c, r"\|"), 2, 1000), lambda p: F.split(p, ":"))
+    pairs = F.transform(F.filter(F.split(c, r"\|"), lambda p, i: i > 0), lambda p: F.split(p, ":"))
     keyed = F.filter(pairs, lambda p: F.size(p) > 1)
     return F.when(F.startswith(c, F.lit("SUCCESS|")), F.map_from_entries(F.transform(keyed, lambda p: F.struct(p[0], p[1]))))
 

@@ -89,8 +89,26 @@ def session_id() -> Column:
 
 
 def without_any(c: Column, keywords: list[str]) -> Column:
-    """Whether a line holds none of the keywords; the list is the caller's, for a long one use ``left_anti``."""
-    out = F.lit(True)
-    for k in keywords:
-        out = out & ~F.contains(c, F.lit(k))
-    return F.coalesce(out, F.lit(False))
+    """Whether a line holds none of the keywords, one expression whatever their number; false for null."""
+    if not keywords:
+        return c.isNotNull()
+    return F.coalesce(~F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(c, k)), F.lit(False))
+
+
+def iso_stamp(ts: Column) -> Column:
+    """A time as ISO text with microseconds."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def log_stamp(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+
+
+def clock(ts: Column) -> Column:
+    """Hours and minutes of a time."""
+    return F.date_format(ts, "HH:mm")
+
+
+def preview_path(path: Column) -> Column:
+    """A stored file's path as it is served: without ``storage``, wherever it stands."""
+    return F.replace(path, F.lit("storage"), F.lit(""))

@@ -38,9 +38,10 @@ def video_rows(features: DataFrame) -> DataFrame:
     return each.select(F.col("asset").alias("asset_name"), F.lit("video").alias("modality"), "s.content_type", "s.content_ref", F.col("timestamp").cast("double").alias("timestamp"), F.lit("null").alias("coordinates"), "s.vector")
 
 
-def with_ids(rows: DataFrame, first: int = 0) -> DataFrame:
-    """Rows with ids of their own; ingesting an asset again makes new rows."""
-    return rows.select((F.monotonically_increasing_id() + first).alias("id"), "*")
+def with_ids(rows: DataFrame, after: DataFrame | None = None) -> DataFrame:
+    """Rows with ids of their own, above all of the collection ``after``; ingesting an asset again makes new rows."""
+    last = after.agg(F.max("id")).first()[0] if after is not None else None
+    return rows.select((F.monotonically_increasing_id() + (0 if last is None else last + 1)).alias("id"), "*")
 
 
 def counts(collection: DataFrame) -> DataFrame:

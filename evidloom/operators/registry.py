@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidloom.functions.text import frame_name
+from evidloom.functions.text import extension, frame_name, iso_stamp, preview_path
 
 
 def global_state(assets: DataFrame, current: str | None = None, uploading: str = "Uploading", status: str = "status") -> DataFrame:
@@ -33,6 +33,25 @@ def structure_state(assets: DataFrame) -> DataFrame:
     return assets.select("asset_id", F.when(F.col("status") == "Ready", "ready").otherwise("processing").alias("structure"))
 
 
+def normalised(assets: DataFrame, now: Column | None = None) -> DataFrame:
+    """Assets as they are shown, empty fields read as missing: (id, name, type, status, created_at, asset_processed_path, progress)."""
+    given = lambda c: F.nullif(F.col(c), F.lit(""))
+    status = F.coalesce(given("status"), F.lit("Raw"))
+    kind = F.coalesce(given("asset_type"), F.when(F.endswith("asset_id", F.lit(".pdf")), "pdf").otherwise("video"))
+    stamp = iso_stamp(F.current_timestamp() if now is None else now)
+    return assets.select(F.col("asset_id").alias("id"), F.col("asset_id").alias("name"), kind.alias("type"), status.alias("status"), F.coalesce(given("created_at"), stamp).alias("created_at"), "asset_processed_path", F.when(status == "Ready", 100).otherwise(0).alias("progress"))
+
+
+def previews(assets: DataFrame) -> DataFrame:
+    return assets.select("asset_id", preview_path(F.col("asset_raw_path")).alias("raw_path"), F.col("asset_type").alias("type"))
+
+
+def present(visuals: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
+    """Pictures and videos whose file exists, with what they are by extension; others are skipped."""
+    kind = F.when(extension(F.col(key)).isin("jpg", "jpeg", "png", "webp"), "image").when(extension(F.col(key)).isin("mp4", "avi", "mov", "mkv"), "video")
+    return visuals.join(files.select(key), key, "left_semi").withColumn("kind", kind).filter("kind is not null")
+
+
 def last_by_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key: later ones replace."""
     value = F.struct(*(c for c in rows.columns if c not in keys))

@@ -26,8 +26,12 @@ class Preferences:
 
 
 def base_scores(vectors: DataFrame, query: list[float], vector_col: str = "vector") -> DataFrame:
-    """``vectors`` with ``base``, the inner product with the query, for the vector; null and differently long ones are left out."""
-    return vectors.withColumn("base", dot(F.col(vector_col), F.array(*map(F.lit, map(float, query))))).drop(vector_col).filter("base is not null")
+    """``vectors`` with ``base``, the inner product with the query, for the vector; null and differently long ones are left out.
+
+    The filter looks at the vector and not at ``base``, so the product is computed once.
+    """
+    whole = (F.size(vector_col) == len(query)) & ~F.exists(vector_col, lambda x: x.isNull())
+    return vectors.filter(F.coalesce(whole, F.lit(False))).withColumn("base", dot(F.col(vector_col), F.array(*map(F.lit, map(float, query))))).drop(vector_col)
 
 
 def bonus(query: str, prefer: Preferences) -> Column:
@@ -53,13 +57,15 @@ def bonus(query: str, prefer: Preferences) -> Column:
 def hybrid_topk(vectors: DataFrame, details: DataFrame, vector: list[float], query: str, prefer: Preferences = Preferences(), k: int = K, expand: int = EXPAND) -> DataFrame:
     """The k best of the ``k * expand`` nearest rows, by rounded score, then base, then id.
 
-    ``vectors`` (id, vector and small columns) are ranked without their texts; only the candidates, a bounded number,
-    are joined to ``details``. Both together have the columns that ``bonus`` reads. A row outside the candidates
-    can't be promoted.
+    ``vectors`` (id, vector and small columns) are scored in the scan; only ids and scores meet the ids of ``details``.
+    The candidates, a bounded number of rows, are taken first, and their ids then pushed down to the scan of
+    ``details``, so no other texts are read where the table is laid out by id. Both together have the columns that
+    ``bonus`` reads. A row outside the candidates can't be promoted.
     """
-    known = vectors.join(details.select("id"), "id", "left_semi")
-    near = base_scores(known, vector).orderBy(F.desc("base"), "id").limit(k * expand)
-    rows = details.join(F.broadcast(near), "id")
+    known = base_scores(vectors, vector).join(details.select("id"), "id", "left_semi")
+    near = known.orderBy(F.desc("base"), "id").limit(k * expand)
+    found = near.collect()
+    rows = details.filter(F.col("id").isin([r.id for r in found])).join(F.broadcast(details.sparkSession.createDataFrame(found, near.schema)), "id")
     scored = rows.withColumn("score", F.round(bonus(query, prefer) + F.col("base"), 4)).withColumn("base_score", F.round("base", 4))
     return scored.orderBy(F.desc("score"), F.desc("base"), "id").limit(k)
 
@@ -78,7 +84,10 @@ def accumulated(attempts: list[DataFrame], dedup: bool = False) -> DataFrame:
     for i, hits in enumerate(attempts):
         rows = hits.withColumn("attempt", F.lit(i))
         out = rows if out is None else out.unionByName(rows)
-    return out.dropDuplicates([c for c in out.columns if c not in ("attempt", "rank")]) if dedup else out
+    if dedup:  # of equal rows the newest and best placed one
+        own = [c for c in out.columns if c not in ("attempt", "rank")]
+        out = out.groupBy(*own).agg(F.max(F.struct("attempt", -F.col("rank"))).alias("at")).select(*own, (-F.col("at.col2")).alias("rank"), "at.attempt")
+    return out.orderBy(F.desc("attempt"), "rank")
 
 
 def parsed_question(refined: Column) -> dict[str, Column]:

@@ -53,6 +53,31 @@ def said(tokens: DataFrame, key: str, order: str, delta: str) -> DataFrame:
     return tokens.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, delta))), lambda t: t[delta]), "").alias("message"))
 
 
+def conversation_prompt(history: Column, prompt: Column) -> Column:
+    """A history (array of role and text) with the new prompt as the user's last message; without history, that alone."""
+    new = F.array(F.struct(F.lit("user").alias("role"), prompt.alias("text")))
+    return F.when(history.isNull(), new).otherwise(F.concat(history, new))
+
+
+#: What each state of a session leads to once its work is done; Evaluating leads on or back, any failure to FAILED.
+NEXT = {"Idle": "Preparing", "Preparing": "Researching", "Researching": "Evaluating", "Strengthening": "Finalizing", "Finalizing": "Idle"}
+
+
+def next_state(status: Column, proceed: Column, attempts: Column, failed: Column, most: int = 2) -> Column:
+    """A session's state after the one it is in: back to Researching while it may not proceed and has attempts left."""
+    states = F.create_map(*(F.lit(x) for kv in NEXT.items() for x in kv))
+    judged = F.when(F.coalesce(proceed, F.lit(False)) | (attempts >= most), "Strengthening").otherwise("Researching")
+    on = F.when(status == "Evaluating", judged).otherwise(F.coalesce(F.try_element_at(states, status), status))
+    return F.when(F.coalesce(failed, F.lit(False)) & (status != "Idle"), "FAILED").otherwise(on)
+
+
+def admitted(requests: DataFrame, running: DataFrame, key: str = "chat_id", order: str = "at") -> DataFrame:
+    """The first request of each chat that has no running task; others are refused."""
+    free = requests.join(running.select(key), key, "left_anti")
+    rest = [c for c in requests.columns if c != key]
+    return free.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("row")).select(key, "row.*")
+
+
 def reset(sessions: DataFrame) -> DataFrame:
     """Sessions as they are read again at a start: idle, but for failed ones."""
     return sessions.withColumn("status", F.when(F.col("status") == "FAILED", F.col("status")).otherwise(F.lit("Idle")))

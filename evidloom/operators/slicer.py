@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Least change, seconds between kept frames, samples a second, and the fallback's density.
@@ -18,6 +18,11 @@ def strided(frames: DataFrame, fps: float, rate: float = RATE) -> DataFrame:
     return frames.filter(F.col("frame_no") % max(1, int(fps / rate)) == 0)
 
 
+def duration(total_frames: Column, fps: Column) -> Column:
+    """Seconds of a video; zero where it has no frame rate."""
+    return F.when(fps > 0, total_frames / fps).otherwise(F.lit(0.0))
+
+
 def changes(frames: DataFrame) -> DataFrame:
     """``frames`` (asset, ts, frame_id, signal) with the difference to the one before, null for the first."""
     order = Window.partitionBy("asset").orderBy("ts", "frame_id")
@@ -29,9 +34,9 @@ def greedy_throttle(frames: DataFrame, change: float = CHANGE, gap: float = GAP)
 
     The first frame doesn't count as a kept change; before all there is one at ``-gap``. What counts as a change is
     found by a window; the rest is a scan over an asset's changes in order of time, with one number kept as state,
-    so no asset is ever held in memory. The scan relies on the window's partitions: an asset is in one.
+    so no asset is ever held in memory. An asset is in one partition: dealt so before the window, which needs no other.
     """
-    found = changes(frames).filter(F.col("first") | (F.col("change") > change)).select("asset", "ts", "frame_id", "first")
+    found = changes(frames.repartition("asset")).filter(F.col("first") | (F.col("change") > change)).select("asset", "ts", "frame_id", "first")
     ordered = found.sortWithinPartitions("asset", "ts", "frame_id")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,11 +57,11 @@ def greedy_throttle(frames: DataFrame, change: float = CHANGE, gap: float = GAP)
 
 def uniform(frames: DataFrame, target: int | None = None) -> DataFrame:
     """A uniform sample of each asset: at most ``target`` frames, or one for each 15 seconds and five at least."""
-    order = Window.partitionBy("asset").orderBy("ts", "frame_id")
-    stats = frames.groupBy("asset").agg(F.count(F.lit(1)).alias("total"), F.max("ts").alias("duration"))
+    asset = Window.partitionBy("asset")
+    order = asset.orderBy("ts", "frame_id")
+    stats = frames.withColumns({"place": F.row_number().over(order) - 1, "total": F.count(F.lit(1)).over(asset), "duration": F.max("ts").over(asset)})
     goal = F.lit(target) if target else F.greatest(F.floor(F.col("duration") / SECONDS_EACH), F.lit(LEAST))
-    stats = stats.withColumn("goal", goal.cast("bigint")).withColumn("step", F.greatest(F.floor(F.col("total") / F.col("goal")), F.lit(1)).cast("bigint"))
-    placed = frames.withColumn("place", F.row_number().over(order) - 1).join(stats, "asset")
+    placed = stats.withColumn("goal", goal.cast("bigint")).withColumn("step", F.greatest(F.floor(F.col("total") / F.col("goal")), F.lit(1)).cast("bigint"))
     return placed.filter((F.col("place") % F.col("step") == 0) & (F.col("place") < F.col("step") * F.col("goal"))).select("asset", "ts", "frame_id", "goal")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidloom.functions import records, text, vectors
-from evidloom.operators import align, backends, collection, flatten, registry, retrieval, sessions, slicer
+from evidloom.operators import align, backends, collection, flatten, ivf, outline, registry, retrieval, sessions, slicer
 from evidloom.streaming import assets
 
 #: The flagship's question.
@@ -238,11 +238,154 @@ def next_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", assets.next_state(status, F.col("o_totalprice") > 200000).alias("status"))
 
 
+def worker_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = F.concat(F.lit("started\nstill at it\n"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"v": '), "event_id", F.lit("}"))).otherwise(F.lit("gave up")), F.lit("\n"))
+    own = table(spark, sf_dir, "events").select("event_id", records.last_line_record(out, "v bigint").alias("r"))
+    return own.select("event_id", "r.status", F.col("r.data.v").alias("v"))
+
+
+def piped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.when(F.col("event_id") % 4 == 0, "FAILED").otherwise("SUCCESS"), F.lit("|ID:"), "event_id", F.lit("|KIND:"), "event_type", F.lit(":lost|bare"))
+    own = table(spark, sf_dir, "events").select("event_id", records.piped(line).alias("m"))
+    return own.select("event_id", F.col("m")["ID"].alias("id"), F.col("m")["KIND"].alias("kind"))
+
+
+def stream_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit('data: {"choices": [{"delta": {"content": "'), F.col("role"), F.lit('"}}]}'))
+    line = F.when(F.col("turn") == 3, "data: [DONE]").when(F.col("turn") == 1, ": ping").otherwise(said)
+    return records.deltas(table(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("line")), "conv_id", "turn", "line")
+
+
+def image_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "embeddings")
+    pages = own.select(F.concat(F.lit("a"), "label").alias("asset"), F.concat("vec_id", F.lit(".jpg")).alias("name"), F.lit(0).alias("page_idx"), F.array(F.lit(1.0)).alias("bbox"), F.lit("").alias("text_slice"), F.col("embedding").alias("vector"))
+    urls = own.filter("vec_id % 2 = 0").select(F.concat(F.lit("a"), "label").alias("asset"), F.concat("vec_id", F.lit(".jpg")).alias("name"), F.concat(F.lit("store/"), "vec_id").alias("url"))
+    return collection.document_rows(pages, pages.limit(0), urls).select("asset_name", "content_ref")
+
+
+def evidence_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "embeddings")
+    evidence = own.select("vec_id", F.concat(F.lit("a"), "label").alias("asset_name"), (F.col("vec_id") / 4).alias("timestamp"))
+    frames = own.filter("vec_id % 3 = 0").select(F.concat(F.lit("a"), "label").alias("asset_name"), text.frame_name(F.col("vec_id") / 4).alias("name"), F.concat(F.lit("frames/"), "vec_id").alias("path"))
+    return registry.with_frames(evidence, frames).select("vec_id", "name", "path")
+
+
+def strategy_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.instructions(table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("strategy")), {"error": "look closely", "scene_description": "describe"}).select("event_id", "instruction")
+
+
+def accumulated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two attempts that share rows, the newest first, repeated ones once; ``place`` tells the order."""
+    own = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    tries = [own.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(n).select("o_orderkey", "o_orderpriority") for n in (5, 3)]
+    ranked = [spark.createDataFrame([(*r, i) for i, r in enumerate(t.collect())], "o_orderkey bigint, o_orderpriority string, rank int") for t in tries]
+    return retrieval.accumulated(ranked, dedup=True).select("o_orderkey", "o_orderpriority", "attempt", "rank")
+
+
+def first_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("items"))
+    return own.select("conv_id", F.array_join(F.transform(sessions.first_items(F.col("items")), lambda x: x["role"]), ",").alias("roles"))
+
+
+def waiting_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("asset_id"), F.when(F.col("o_orderstatus") == "O", "Raw").otherwise("Ready").alias("status"), F.col("o_orderdate").cast("string").alias("created_at"))
+    return registry.queued(own)
+
+
+def _asset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey").cast("string")
+    return table(spark, sf_dir, "orders").select(
+        F.concat(key, F.when(F.col("o_orderkey") % 2 == 0, ".pdf").otherwise(".mp4")).alias("asset_id"),
+        F.when(F.col("o_orderkey") % 3 == 0, "").when(F.col("o_orderkey") % 3 == 1, "video").alias("asset_type"),
+        F.when(F.col("o_orderstatus") == "F", "Ready").when(F.col("o_orderstatus") == "P", "").alias("status"),
+        F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderdate").cast("string")).alias("created_at"),
+        F.concat(F.lit("/data/storage/raw/storage-"), key).alias("asset_raw_path"), F.concat(F.lit("done/"), key).alias("asset_processed_path"),
+    )
+
+
+def asset_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.normalised(_asset_rows(spark, sf_dir), F.lit("2024-01-02 03:04:05").cast("timestamp_ntz"))
+
+
+def preview_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.previews(_asset_rows(spark, sf_dir)).select("asset_id", "raw_path")
+
+
+def upload_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    endings = F.element_at(F.array(*map(F.lit, (".PDF", ".mp4", ".mkv", ".mov", ".txt", ""))), (F.col("event_id") % 6 + 1).cast("int"))
+    own = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("file.v"), "event_id", endings).alias("name"))
+    return own.select("event_id", text.asset_type(F.col("name")).alias("asset_type")).filter("asset_type is not null")
+
+
+def public_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.create_map(F.lit("x"), F.col("event_id").cast("string"), F.concat(F.when(F.col("event_id") % 2 == 0, "__").otherwise("y"), "event_type"), F.lit("1"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(F.map_keys(backends.public_fields(made))), ",").alias("names"))
+
+
+def visual_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = lambda df: df.select("event_id", F.concat("event_id", F.element_at(F.array(*map(F.lit, (".jpg", ".mp4", ".doc"))), (F.col("event_id") % 3 + 1).cast("int"))).alias("path"))
+    own = table(spark, sf_dir, "events")
+    return registry.present(named(own), named(own.filter("event_type <> 'error'")).select("path")).select("event_id", "kind")
+
+
+def conversation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("history"))
+    asked = own.select("conv_id", F.explode(sessions.conversation_prompt(F.col("history"), F.lit("and now?"))).alias("m"))
+    return asked.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("m.role") == "user") & (F.col("m.text") == "and now?")).alias("n_new"))
+
+
+def admitted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("at"), "role")
+    return sessions.admitted(own, own.filter("chat_id % 5 = 0").select("chat_id").distinct())
+
+
+def session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("Idle", "Preparing", "Researching", "Evaluating", "Strengthening", "Finalizing")
+    status = F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % 6 + 1).cast("int"))
+    state = sessions.next_state(status, F.col("event_id") % 4 == 0, F.col("event_id") % 3, F.col("event_id") % 11 == 0)
+    return table(spark, sf_dir, "events").select("event_id", state.alias("status"))
+
+
+def outline_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("asset"), F.col("turn").cast("double").alias("start"), F.col("turn").alias("segment_id"), "text")
+    return outline.transcript_context(segments)
+
+
+def solved_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("2*y - "), F.col("event_id") * 2, F.lit(" = 0")).alias("expression"), F.when(F.col("event_id") % 3 == 0, "guess").otherwise("solve").alias("mode"), F.lit("y").alias("symbol"))
+    return backends.reckoned(own).select("event_id", F.col("result.values")["0"].alias("root"), F.col("result.error").alias("error"))
+
+
+def rendered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("docs"), F.max(F.when(F.col("role") == "system", F.col("role"))).alias("system"))
+    template = 'Q {{ conv_id }}:{% for d in docs %} {{ loop.index }}={{ d.role }}{% endfor %}{% if system %} (ruled){% else %} (free){% endif %} {{ system if system else "none" }}'
+    return own.select("conv_id", backends.rendered(template, conv_id=F.col("conv_id"), docs=F.col("docs"), system=F.col("system")).alias("prompt"))
+
+
+def clock_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("ts").cast("timestamp_ntz")
+    return table(spark, sf_dir, "events").select("event_id", text.clock(at).alias("clock"), text.log_stamp(at).alias("stamp"))
+
+
+def video_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.round(slicer.duration(F.col("event_id"), F.col("event_id") % 30), 6).alias("seconds"))
+
+
+def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With all cells probed the index gives the exact answer; a test measures the recall with fewer."""
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    centroids, rows = ivf.indexed(own, cells=16)
+    return ivf.ivf_topk(rows, centroids, _question_vector(spark, sf_dir), 10, probes=16).select("id", F.round("base", 6).alias("base"))
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     hybrid_rerank_topk, evidence_structs, vector_scores, overlap_align, overlap_binned, overlap_theta, slicer_keep, uniform_fallback, key_frames,
     block_flatten, unpivot_collection, last_six_context, session_names, session_counts, last_message, status_changes, global_state, structure_state,
     registry_lookup, evidence_assets, merge_rows, last_wins_by_key, anchor_format, bbox_scale, exclude_keywords, json_props, marker_capture, l2_normalize,
     mean_pool, frame_change, sandbox_eval, daily_counts, next_states,
+    worker_records, piped_records, stream_deltas, image_urls, evidence_frames, strategy_instructions, accumulated_hits, first_two, waiting_queue,
+    asset_records, preview_paths, upload_types, public_keys, visual_files, conversation_prompts, admitted_requests, session_states, outline_contexts,
+    solved_formulas, rendered_prompts, clock_times, video_durations, ivf_topk,
 )
 
 _STRIP = r"regexp_replace(line, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
@@ -285,6 +428,31 @@ UNION ALL SELECT asset_name, 'video', 'transcript_context', 'said ' || vec_id, v
     "sandbox_eval": "SELECT event_id, 2 * (event_id % 1000 + 3)::DOUBLE / 4 AS result FROM events",
     "daily_counts": "SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "next_states": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 AND o_orderstatus IN ('O', 'F') THEN 'Failed' WHEN o_orderstatus = 'O' THEN 'recognizing' ELSE 'Ready' END AS status FROM orders",
+    "worker_records": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'success' ELSE 'partial_success' END AS status, CASE WHEN event_id % 3 = 0 THEN event_id END AS v FROM events",
+    "piped_records": "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN event_id::VARCHAR END AS id, CASE WHEN event_id % 4 <> 0 THEN event_type END AS kind FROM events",
+    "stream_deltas": "SELECT conv_id, turn, role AS delta FROM conversations c WHERE turn NOT IN (1, 3) AND NOT EXISTS (SELECT 1 FROM conversations e WHERE e.conv_id = c.conv_id AND e.turn = 3 AND c.turn > 3) AND role IS NOT NULL",
+    "image_urls": "SELECT 'a' || label AS asset_name, CASE WHEN vec_id % 2 = 0 THEN 'store/' || vec_id ELSE vec_id || '.jpg' END AS content_ref FROM embeddings",
+    "evidence_frames": "SELECT vec_id, printf('time_%.2f.jpg', vec_id / 4) AS name, CASE WHEN vec_id % 3 = 0 THEN 'frames/' || vec_id END AS path FROM embeddings",
+    "strategy_instructions": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'look closely' ELSE 'describe' END AS instruction FROM events",
+    "accumulated_hits": "SELECT o_orderkey, o_orderpriority, CASE WHEN r <= 3 THEN 1 ELSE 0 END AS attempt, (r - 1)::INT AS rank FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 5",
+    "first_two": "SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS r FROM conversations) WHERE r <= 2 GROUP BY conv_id",
+    "waiting_queue": "SELECT o_orderkey AS asset_id, o_orderdate::VARCHAR AS created_at FROM orders WHERE o_orderstatus = 'O'",
+    "asset_records": """WITH a AS (SELECT *, o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '.pdf' ELSE '.mp4' END AS id, CASE WHEN o_orderstatus = 'F' THEN 'Ready' ELSE 'Raw' END AS status FROM orders)
+SELECT id, id AS name, CASE WHEN o_orderkey % 3 = 1 OR o_orderkey % 2 = 1 THEN 'video' ELSE 'pdf' END AS type, status, CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate::VARCHAR ELSE '2024-01-02T03:04:05.000000' END AS created_at,
+  'done/' || o_orderkey AS asset_processed_path, CASE WHEN status = 'Ready' THEN 100 ELSE 0 END AS progress FROM a""",
+    "preview_paths": "SELECT o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '.pdf' ELSE '.mp4' END AS asset_id, '/data//raw/-' || o_orderkey AS raw_path FROM orders",
+    "upload_types": "SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'pdf' ELSE 'video' END AS asset_type FROM events WHERE event_id % 6 < 4",
+    "public_keys": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'x' WHEN 'y' || event_type < 'x' THEN 'y' || event_type || ',x' ELSE 'x,y' || event_type END AS names FROM events",
+    "visual_files": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'image' ELSE 'video' END AS kind FROM events WHERE event_type <> 'error' AND event_id % 3 < 2",
+    "conversation_prompts": "SELECT conv_id, count(*) + 1 AS n, 1 + count(*) FILTER (role = 'user' AND text = 'and now?') AS n_new FROM conversations GROUP BY conv_id",
+    "admitted_requests": "SELECT conv_id AS chat_id, turn AS \"at\", role FROM conversations WHERE conv_id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1",
+    "session_states": "SELECT event_id, CASE WHEN event_id % 11 = 0 AND event_id % 6 <> 0 THEN 'FAILED' ELSE CASE event_id % 6 WHEN 0 THEN 'Preparing' WHEN 1 THEN 'Researching' WHEN 2 THEN 'Evaluating' WHEN 3 THEN CASE WHEN event_id % 4 = 0 OR event_id % 3 >= 2 THEN 'Strengthening' ELSE 'Researching' END WHEN 4 THEN 'Finalizing' ELSE 'Idle' END END AS status FROM events",
+    "outline_contexts": "SELECT conv_id AS asset, substring(string_agg('[' || turn::DOUBLE || 's]: ' || text, chr(10) ORDER BY turn), 1, 50000) AS context FROM conversations GROUP BY conv_id",
+    "solved_formulas": "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN event_id::VARCHAR END AS root, CASE WHEN event_id % 3 = 0 THEN 'not understood: guess' END AS error FROM events",
+    "rendered_prompts": "SELECT conv_id, 'Q ' || conv_id || ':' || string_agg(' ' || r || '=' || role, '' ORDER BY r) || CASE WHEN bool_or(role = 'system') THEN ' (ruled) system' ELSE ' (free) none' END AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS r FROM conversations) GROUP BY conv_id",
+    "clock_times": "SELECT event_id, strftime(ts, '%H:%M') AS clock, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp FROM events",
+    "video_durations": "SELECT event_id, CASE WHEN event_id % 30 > 0 THEN round(event_id / (event_id % 30), 6) ELSE 0 END::DOUBLE AS seconds FROM events",
+    "ivf_topk": f"WITH {_Q} SELECT vec_id AS id, round(list_inner_product(embedding::DOUBLE[], q), 6) AS base FROM embeddings, q ORDER BY list_inner_product(embedding::DOUBLE[], q) DESC, vec_id LIMIT 10",
 }
 
 

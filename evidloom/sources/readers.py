@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidloom.functions.text import asset_type, file_name, first_full, frame_seconds
@@ -76,21 +76,32 @@ def frames(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -2).alias("asset"), frame_seconds(F.col("path")).alias("ts"), file_name(F.col("path")).alias("frame_id"), "path").filter("ts is not null")
 
 
+def _folder(path: Column) -> Column:
+    """The asset that a file's folder is named after, as such or as ``asset=...``."""
+    return F.regexp_replace(F.url_decode(F.element_at(F.split(path, "/"), -2)), "^asset=", "")
+
+
 def document_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Images and text chunks of feature files, with the folder as asset."""
-    rows = spark.read.schema(DOCUMENT_FEATURES).option("multiLine", True).option("recursiveFileLookup", "true").json(path).withColumn("asset", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    rows = spark.read.schema(DOCUMENT_FEATURES).option("multiLine", True).option("recursiveFileLookup", "true").json(path).withColumn("asset", _folder(F.input_file_name()))
     pictures = rows.select("asset", F.explode("images").alias("name", "i")).select("asset", "name", "i.page_idx", "i.text_slice", "i.bbox", F.col("i.embedding").alias("vector"))
     return pictures, rows.select("asset", F.explode("text_chunks").alias("c")).select("asset", "c.page_idx", "c.text_slice", "c.bbox", F.col("c.embedding").alias("vector"))
 
 
 def video_features(spark: SparkSession, path: str) -> DataFrame:
     """Frame records of feature files, an array or the same under ``alignments``, with the folder as asset."""
-    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("asset", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("asset", _folder(F.input_file_name()))
     bare = F.from_json("value", f"array<{_FRAME}>")
     under = F.from_json(F.get_json_object("value", "$.alignments"), f"array<{_FRAME}>")
     return text.select("asset", F.explode(first_full(under, bare)).alias("f")).filter("f.timestamp is not null").select("asset", "f.*")
 
 
+def content_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(asset, content): content lists of parsed documents as they stand in files named after the asset."""
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*_content_list.json")
+    return rows.select(F.regexp_replace(file_name(F.input_file_name()), r"_content_list\.json$", "").alias("asset"), F.col("value").alias("content"))
+
+
 def outlines(spark: SparkSession, path: str) -> DataFrame:
     """(asset_id, title, place, heading, anchor, summary, sub_points), one row for each heading."""
     rows = spark.read.schema(OUTLINE).option("multiLine", True).json(path)

@@ -4,20 +4,56 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def replaced(df: DataFrame, path: str) -> str:
-    """Write a new version under ``path`` and name it in ``path/_current``; the name is what readers follow."""
+    """Write a new version under ``path`` and add its name, numbered, to ``path/versions``, where readers find the last.
+
+    Nothing is overwritten or deleted: a job lost at any point leaves the version before, and old versions stay.
+    """
     version = f"{path}/v-{uuid.uuid4().hex}"
     df.write.parquet(version)
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    spark = df.sparkSession
+    try:
+        last = _versions(spark, path).agg(F.max("n")).first()[0] or 0
+    except AnalysisException:  # no version yet
+        last = 0
+    spark.createDataFrame([(last + 1, version)], "n bigint, version string").coalesce(1).write.mode("append").json(f"{path}/versions")
     return version
 
 
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("n bigint, version string").json(f"{path}/versions")
+
+
 def current(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(spark.read.schema("version string").json(f"{path}/current").first()[0])
+    return spark.read.parquet(_versions(spark, path).agg(F.max_by("version", F.struct("n", "version"))).first()[0])
+
+
+def save_document_features(images: DataFrame, chunks: DataFrame, path: str) -> None:
+    """Feature files of documents, one folder for each asset: images by name, and text chunks in order."""
+    slot = lambda kind: F.struct(F.lit(kind).alias("type"), F.col("page_idx").cast("int").alias("page_idx"), "text_slice", F.col("vector").alias("embedding"), "bbox")
+    shown = images.groupBy("asset").agg(F.map_from_entries(F.collect_list(F.struct("name", slot("image")))).alias("images"))
+    said = chunks.groupBy("asset").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_idx", "block_idx", slot("text").alias("s")))), lambda x: x["s"]).alias("text_chunks"))
+    _by_asset(shown.join(said, "asset", "full"), path)
+
+
+def save_video_features(features: DataFrame, path: str) -> None:
+    """Feature files of videos, one folder for each asset: its frames in order of time, under ``alignments``."""
+    frame = F.struct("timestamp", "frame_name", "img_vector", "text_vector", "content", "need_vlm")
+    _by_asset(features.groupBy("asset").agg(F.array_sort(F.collect_list(frame)).alias("alignments")), path)
+
+
+def save_outlines(outlines: DataFrame, path: str) -> None:
+    """Outline files (asset_id, generated_at, outline), one folder for each asset."""
+    _by_asset(outlines.withColumn("asset", F.col("asset_id")), path)
+
+
+def _by_asset(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("asset").json(path)
 
 
 def save_sessions(found: DataFrame, path: str) -> None:

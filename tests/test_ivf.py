@@ -1,3 +1,4 @@
+import numpy as np
 from evidloom.operators import ivf
 from evidloom.operators.retrieval import base_scores
 from evidloom.plans.catalog import table
@@ -16,3 +17,16 @@ def test_index(spark, tmp_path):
     assert all(r.base <= e[1] for r, e in zip(some.collect(), exact)) and some.first().id == 3
     assert "cell" in stored.filter(F.col("cell") == 1)._jdf.queryExecution().executedPlan().toString()
     assert ivf.ivf_topk(ivf.indexed(v.limit(0))[1], ivf.Centroids(()), query, 5).collect() == []
+
+
+def test_recall(spark):
+    """Of the ten best, over all queries with an id divisible by 50, with the cells and probes that are the default."""
+    v = table(spark, "/root/testdata/sf0.1", "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    centroids, rows = ivf.indexed(v)
+    rows = rows.select("id", "cell", "vector").collect()
+    ids, cells, x = np.array([r.id for r in rows]), np.array([r.cell for r in rows]), np.array([r.vector for r in rows], float)
+    found = []
+    for q in x[ids % 50 == 0]:
+        best = np.argsort(-(x @ q), kind="stable")[:10]
+        found.append(np.isin(cells[best], centroids.nearest(q.tolist(), ivf.PROBES)).mean())
+    assert len(found) == 40 and np.mean(found) >= 0.9

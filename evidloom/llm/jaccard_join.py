@@ -31,7 +31,7 @@ PERCENT = 80
 #: Groups of a list that one task compares with as many others.
 CHUNK = 512
 #: How many blocks' bytes a bucket of shingles stands for; a block sends rows only to buckets that it has a shingle for.
-COUNTED = 4
+COUNTED = 2
 #: Partners for each group in each round before what is left is compared in full.
 ROUNDS = (6,)
 ROUTED = "block int, bucket int, keys binary, counts binary"

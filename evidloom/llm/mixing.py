@@ -18,10 +18,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import fresh, log_factorial, text_of, written
+from evidloom.llm.common import fresh, log_factorial, pieces_of, text_of, written
 
 WEIGHTS, MOST = (5, 2, 1), 3
-BLOCKS, SHARDS, SEED = 1024, 16, 7
+SEED = 7
+#: Least blocks of a source and least shards, and the rows of the whole table for each beyond that.
+BLOCKS, SHARDS, BLOCK_ROWS, SHARD_ROWS = 1024, 16, 1 << 20, 1 << 22
 #: Planned rows that are broadcast at most; more are joined by shuffle.
 SMALL_PLAN = 100_000
 
@@ -170,23 +172,32 @@ def _with_plan(rows: DataFrame, source: Column, block: Column, planned: DataFram
     return rows.join(F.broadcast(other) if small else other, source.eqNullSafe(F.col("plan_source")) & (block == F.col("plan_block")), "left")
 
 
-def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
+def _divided(docs: DataFrame, shards: int | None, blocks: int | None) -> tuple[int, int]:
+    """Numbers of shards and blocks as given, else following the number of rows."""
+    n = docs.count() if shards is None or blocks is None else 0
+    return shards or pieces_of(n, SHARD_ROWS, SHARDS), blocks or pieces_of(n, BLOCK_ROWS, BLOCKS)
+
+
+def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, shards: int | None = None, blocks: int | None = None, seed: int = SEED) -> DataFrame:
     """Per row of ``docs``: id, size, source_size, target, words ``taken`` (repeats counted) and the shards that got it.
 
     A null text has no words; null is a source like any other, the last one; rows with equal id and text are taken
     alike. Repeated ids have a row each, other columns are left out, and an empty table gives none. A source's taken
-    words fall short of its target by less than one document, or one group of equal rows.
+    words fall short of its target by less than one document, or one group of equal rows. ``shards`` and ``blocks``
+    follow the number of rows where they aren't given.
     """
+    shards, blocks = _divided(docs, shards, blocks)
     sizes = written(sized(docs, id_col, text_col, source_col, blocks, seed))
     joined = _with_plan(sizes, F.col("source"), F.col("block"), plan(sizes, weights, most, shards, seed)).withColumn("own", _drawn(F.col("key")))
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("own")).alias("taken"), F.transform("own", lambda x: x["shard"]).alias("shards"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, shards: int | None = None, blocks: int | None = None, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with ``shard`` and ``place``, the order in the shard.
 
     Both columns get a longer name where ``docs`` has theirs. ``shuffled`` lays the rows out.
     """
+    shards, blocks = _divided(docs, shards, blocks)
     planned = plan(written(sized(docs, id_col, text_col, source_col, blocks, seed)), weights, most, shards, seed)
     key, block = keys(docs, id_col, text_col, blocks, seed)
     inner = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("own_source"), key.alias("own_key"), block.alias("own_block"))

@@ -63,6 +63,20 @@ def test_edges(spark):
     assert mixing.taken(df.limit(0)).collect() == []
 
 
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, "a b c", "s"), (None, "a b c", "s"), (1, "d e", "s"), (1, "d e", "s"), (1, "d e", None), (2, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+    got = mixing.taken(df, blocks=4).collect()
+    assert sorted(r["size"] for r in got) == [0, 0, 2, 2, 2, 3, 3]
+    assert len({r.taken for r in got if r["size"] == 3}) == 1  # equal rows are taken alike
+    target = {10: None, 2: None}
+    for r in got:
+        target[r.source_size] = r.target
+    assert target == pytest.approx(wanted({"s": 10, None: 2}) and {10: wanted({"s": 10, None: 2})["s"], 2: wanted({"s": 10, None: 2})[None]})
+    for of in (10, 2):
+        assert target[of] - 6 <= sum(r.taken for r in got if r.source_size == of) <= target[of] + 1e-6
+
+
 def test_tree(spark):
     quotas = {0: 3000, 1: 0, 2: 5, 3: 411, 4: 1}
     df = spark.createDataFrame(list(quotas.items()), "source_no int, n long")

@@ -59,3 +59,18 @@ def test_stages(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, D)
     assert {"doc_id", "n_tokens", "ids"} <= set(rows.columns) and rows.count() > 0
+
+
+def test_clashing_columns(spark):
+    """Documents may have columns of any name; they go through all stages but the last as they are."""
+    names = ["toxicity", "secrets", "shard", "place", "sig", "sig_n", "own_sig", "row", "block", "copies", "key", "draws"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(["a secret: abcdefghijklmnopq of some kind", "the same words in both of these texts", "the same words in both of these texts", ""])] + [(None, None, None, None, None)]
+    docs = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, D)
+        found = docs.collect()
+        assert docs.columns == columns and all(r[n] == n for r in found for n in names)
+        docs = spark.createDataFrame(found, docs.schema)
+    assert {r.text for r in found} <= {"a [assign] of some kind", "the same words in both of these texts", "", None}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, D).count() == len(found)

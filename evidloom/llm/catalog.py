@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm import chat_format, fill_middle, jaccard_join, mixing, nearest, quality_rules, secrets, suffix_dedup, toxicity
+from evidloom.llm import chat_format, fill_middle, jaccard_join, mixing, nearest, part_codes, quality_rules, secrets, suffix_dedup, toxicity
 from evidloom.llm.bpe_codec import encode_documents
 from evidloom.llm.common import table, written
 from evidloom.llm.token_counts import count_tokens
@@ -62,6 +62,11 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(fill_middle.rearranged(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op13_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = part_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return codes.withColumn("codebooks_sha256", F.lit(books.sha256()))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f) and k[2].isdigit()}
 
@@ -74,4 +79,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_jaccard_join": jaccard_join.ORACLE,
         "op6_chat_format": chat_format.ORACLE,
         "op12_fill_middle": fill_middle.ORACLE,
+        "op13_part_codes": part_codes.ORACLE,
     }

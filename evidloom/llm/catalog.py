@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm import chat_format, fill_middle, jaccard_join, mixing, nearest, part_codes, quality_rules, secrets, suffix_dedup, toxicity
+from evidloom.llm import chat_format, fill_middle, jaccard_join, lsh_forest, mixing, nearest, part_codes, quality_rules, secrets, suffix_dedup, toxicity
 from evidloom.llm.bpe_codec import encode_documents
 from evidloom.llm.common import table, written
 from evidloom.llm.token_counts import count_tokens
@@ -58,6 +58,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(written(nearest.index(vectors)), vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+def op11_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(fill_middle.rearranged(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -78,6 +82,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_secret_scan": secrets.ORACLE,
         "op5_jaccard_join": jaccard_join.ORACLE,
         "op6_chat_format": chat_format.ORACLE,
+        "op11_near_dedup": lsh_forest.ORACLE,
         "op12_fill_middle": fill_middle.ORACLE,
         "op13_part_codes": part_codes.ORACLE,
     }

@@ -13,7 +13,7 @@ def shingles(text, size=5):
     return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
-def brute(docs):
+def brute(docs, percent=80):
     """n_shingles and component of each row, by all pairs that share a shingle."""
     sets = [shingles(t) for _, t in docs]
     parent = list(range(len(docs)))
@@ -35,7 +35,7 @@ def brute(docs):
                 if j < i:
                     common[j] = common.get(j, 0) + 1
         for j, c in common.items():
-            if 100 * c >= 80 * (len(s) + len(sets[j]) - c):
+            if 100 * c >= percent * (len(s) + len(sets[j]) - c):
                 parent[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(docs):

@@ -9,7 +9,8 @@ Candidates come first from neighbours in each order, which have the longest pref
 region's member with the fewest shingles of its own, in regions as deep as makes them small: where many classes lie,
 regions are cut by longer prefixes. Each class checks the best few of these. After that components are taken, and only
 regions that still have several components are compared on: first by a few picks of each region, then in full at the
-least depth, in chunks. So a group of thousands of near copies costs a few pairs for each of them, and nothing is cut off.
+least depth, in chunks; there a pair is passed over only when sizes, shingles of their own or parities of shingles say
+that it can't be similar enough. So a group of thousands of near copies costs a few pairs for each of them, and nothing is cut off.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ ORDERS = HASHES // STEP
 DEPTHS, DENSE = (4, 8, 16, 32), 64
 #: Equal hashes that a pair needs to be looked at, neighbours on either side, and picks of a region.
 AGREED, NEIGHBOURS, PICKS = 60, 2, 4
+#: Bits of the parities of a set: pairs of sets that differ in d shingles differ in d bits at most.
+PARITIES = 512
 #: Texts and bytes that are taken up at a time.
 TEXTS, SLICE_BYTES = 512, 4 << 20
 _U = np.uint64
@@ -86,7 +89,7 @@ def in_regions(rows: DataFrame, depth: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(vid, n, tokens) of ``classes`` (place, sig, vid), from the text that stands for each; written."""
+    """(vid, n, tokens, bits) of ``classes`` (place, sig, vid), from the text that stands for each; written."""
     texts = docs.groupBy("place").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,16 +97,44 @@ def full_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
             for part in slices(batch, TEXTS, SLICE_BYTES):
                 own = [(v, s) for v, sig, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _sets_of(part, 2, size), strict=True) if signature(s) == sig]
                 lists = pa.array([s.view(np.int64) for _, s in own], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in own], pa.int64()), pa.array([len(s) for _, s in own], pa.int64()), lists], ["vid", "n", "tokens"])
+                bits = pa.array([parities(s) for _, s in own], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in own], pa.int64()), pa.array([len(s) for _, s in own], pa.int64()), lists, bits], ["vid", "n", "tokens", "bits"])
 
-    return written(classes.join(texts, "place").select("vid", "sig", "text").mapInArrow(run, "vid bigint, n bigint, tokens array<bigint>"))
+    return written(classes.join(texts, "place").select("vid", "sig", "text").mapInArrow(run, "vid bigint, n bigint, tokens array<bigint>, bits array<bigint>"))
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """For each of ``PARITIES`` buckets of shingles whether an odd number of the set's is in it, as words of 64 bits."""
+    odd = np.bincount((found & _U(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def with_own(sets: DataFrame) -> DataFrame:
-    """(vid, n, pos): how many of a set's shingles no other one of ``sets`` has."""
+    """(vid, n, bits, pos): how many of a set's shingles no other one of ``sets`` has."""
     each = sets.select("vid", F.explode("tokens").alias("token"))
     alone = each.groupBy("token").agg(F.min("vid").alias("vid"), F.max("vid").alias("other")).filter("vid = other")
-    return sets.select("vid", "n").join(alone.groupBy("vid").agg(F.count(F.lit(1)).alias("pos")), "vid", "left").fillna(0, ["pos"])
+    return sets.select("vid", "n", "bits").join(alone.groupBy("vid").agg(F.count(F.lit(1)).alias("pos")), "vid", "left").fillna(0, ["pos"])
+
+
+def compared(entries: DataFrame, percent: int) -> DataFrame:
+    """All pairs (u, v) of classes that share a region, are in different components and may be similar.
+
+    A region of many classes is cut into chunks by hash, and each pair of chunks meets under a key of its own. Classes
+    in a region's largest component are only met by others, never by themselves.
+    """
+    sizes = entries.groupBy("token", "c").agg(F.count(F.lit(1)).alias("many"))
+    regions = sizes.groupBy("token").agg(F.max_by("c", F.struct("many", "c")).alias("largest"), F.ceil(F.sum("many") / jaccard_join.CHUNK).cast("int").alias("chunks"))
+    cut = entries.join(regions, "token").withColumn("chunk", F.pmod(F.xxhash64("gid"), F.col("chunks")).cast("int")).withColumn("inside", F.col("c") == F.col("largest"))
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    left = cut.filter(~F.col("inside")).withColumn("j", every).select("token", F.col("chunk").alias("i"), "j", "gid", "n", "pos", "c", "bits")
+    right = cut.withColumn("i", every).select("token", "i", F.col("chunk").alias("j"), F.struct("gid", "n", "pos", "c", "bits", "inside").alias("y"))
+    once = F.col("y.inside") | (F.col("gid") < F.col("y.gid"))
+    here, there = {"n": F.col("n"), "pos": F.col("pos")}, {"n": F.col("y.n"), "pos": F.col("y.pos")}
+    apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(PARITIES // 64)), F.lit(0))
+    # Sets of similarity s differ in (1 - s) / (1 + s) of the sum of their sizes at most.
+    near = apart * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("y.n"))
+    fit = once & (F.col("c") != F.col("y.c")) & jaccard_join._places_agree(here, there, percent) & near
+    return left.join(right, ["token", "i", "j"]).filter(fit).select(F.greatest("gid", "y.gid").alias("u"), F.least("gid", "y.gid").alias("v")).distinct()
 
 
 def _equal_hashes(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -177,7 +208,7 @@ def leaders(info: DataFrame, percent: int) -> DataFrame:
 
 
 def links(info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Components (vertex, component) of all links between classes; ``info`` has vid, n, pos and mins, ``sets`` the tokens."""
+    """Components (vertex, component) of all links between classes; ``info`` has vid, n, pos, bits and mins, ``sets`` the tokens."""
     near, led = neighbours(info, percent), written(leaders(info, percent))
     told = agreeing(led.select("u", "v"), info)
     best = near.unionByName(told).groupBy("u").agg(F.max_by("v", F.struct("agreed", -F.col("v"))).alias("v"))
@@ -186,17 +217,14 @@ def links(info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     edges = written(jaccard_join.verified(both, sets, percent))
     component = components(edges)
     discard(led)
-    entries = in_regions(info.select("vid", "n", "pos", "mins"), DEPTHS[0]).withColumnRenamed("vid", "gid")
+    entries = in_regions(info, DEPTHS[0]).withColumnRenamed("vid", "gid")
     for many in (PICKS, None):
         of = info.select("vid").join(component.withColumnRenamed("vertex", "vid"), "vid", "left").select(F.col("vid").alias("gid"), "vid", F.coalesce("component", "vid").alias("c"))
         of = written(of)
         placed = entries.join(of.select("gid", F.col("c").alias("lo"), F.col("c").alias("hi")), "gid")
         open_ = placed.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("token")
         left = written(placed.join(open_, "token"))
-        if many:
-            pairs = jaccard_join._some(left, of, many, percent)
-        else:
-            pairs = jaccard_join._all(left, percent).select(F.col("g").alias("u"), F.col("h").alias("v"))
+        pairs = jaccard_join._some(left, of, many, percent) if many else compared(left.withColumnRenamed("lo", "c"), percent)
         more = written(jaccard_join.verified(agreeing(pairs, info).select("u", "v"), sets, percent))
         discard(of, left)
         if not more.isEmpty():

@@ -69,6 +69,15 @@ def test_signatures_estimate_similarity():
         assert abs((x == y).mean() - len(a & b) / len(a | b)) < 0.17
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(2)
+    for n, d in ((1, 1), (50, 9), (3000, 400)):
+        a = np.unique(rng.integers(0, 1 << 63, n + d, np.uint64))
+        b = a[d:]
+        x, y = lsh_forest.parities(a), lsh_forest.parities(b)
+        assert len(x) == lsh_forest.PARITIES // 64 and sum(bin(int(i ^ j) & (1 << 64) - 1).count("1") for i, j in zip(x, y)) <= d
+
+
 def test_larger_table(spark):
     """All of sf0.1 against the exact join of another method at 85 percent."""
     from evidloom.llm import jaccard_join

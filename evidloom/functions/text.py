@@ -31,9 +31,9 @@ def contains_folded(whole: Column, part: Column) -> Column:
     return F.coalesce(F.contains(F.lower(whole), F.lower(part)), F.lit(False))
 
 
-def close_to(c: Column, value: float, tolerance: float = 0.01) -> Column:
+def close_to(c: Column, value: float | Column, tolerance: float = 0.01) -> Column:
     """Whether a number is nearer than ``tolerance``; false where it can't be read as a number."""
-    return F.coalesce(F.abs(c.cast("string").try_cast("double") - F.lit(float(value))) < tolerance, F.lit(False))
+    return F.coalesce(F.abs(c.cast("string").try_cast("double") - (value if isinstance(value, Column) else F.lit(float(value)))) < tolerance, F.lit(False))
 
 
 def extension(name: Column) -> Column:

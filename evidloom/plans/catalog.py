@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidloom.functions import records, text, vectors
-from evidloom.operators import align, backends, collection, flatten, ivf, outline, registry, retrieval, sessions, slicer
+from evidloom.operators import align, backends, collection, flatten, ivf, knn, outline, registry, retrieval, sessions, slicer
 from evidloom.streaming import assets
 
 #: The flagship's question.
@@ -67,6 +67,30 @@ def vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.base_scores(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")), _question_vector(spark, sf_dir)).select("vec_id", F.round("base", 6).alias("base"))
 
 
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for every stored vector whose id is divisible by 50, with its own document's place as what it prefers."""
+    own = table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), F.col("vec_id") == F.col("doc_id"), "left")
+    return own.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"), F.when(F.col("lang") == "de", "der").otherwise("the").alias("q_text"), F.col("source").alias("q_asset"), F.when(F.col("label") % 2 == 0, "pdf").otherwise("video").alias("q_modality"), (F.col("doc_id") % 30 + 1).cast("double").alias("q_timestamp"))
+
+
+def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("vec_id").alias("question_id"))
+    return knn.nearest(own, own.filter("question_id % 50 = 0"), 10).select("question_id", "place", "id", F.round("base", 6).alias("base"))
+
+
+def question_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = retrieval.hybrid_many(_typed(spark, sf_dir), _details(spark, sf_dir), _questions(spark, sf_dir))
+    return hits.select("question_id", "place", "id", "asset_name", "modality", "score", "base_score")
+
+
+_ASKED = f"""{_COLL}, asked AS (SELECT vec_id AS question_id, embedding::DOUBLE[] AS q, CASE WHEN lang = 'de' THEN 'der' ELSE 'the' END AS q_text, source AS q_asset, CASE WHEN label % 2 = 0 THEN 'pdf' ELSE 'video' END AS q_modality, doc_id % 30 + 1 AS q_at
+  FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 50 = 0),
+near AS (SELECT * FROM (SELECT *, list_inner_product(vector, q) AS base, row_number() OVER (PARTITION BY question_id ORDER BY list_inner_product(vector, q) DESC, id) AS r FROM coll, asked) WHERE r <= 40),
+scored AS (SELECT *, round((CASE WHEN contains(lower(asset_name), lower(q_asset)) THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN modality = q_modality THEN 0.2::DOUBLE ELSE 0 END
+  + CASE WHEN abs(timestamp - q_at) < 0.01::DOUBLE THEN 0.45::DOUBLE ELSE 0 END + CASE WHEN contains(lower(content_ref), q_text) THEN 0.15::DOUBLE ELSE 0 END
+  + CASE WHEN modality = 'video' AND content_type = 'transcript_context' THEN 0.05::DOUBLE ELSE 0 END) + base, 4) AS score, round(base, 4) AS base_score FROM near)"""
+
+
 def _seconds():
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")) / 1e6
 
@@ -385,7 +409,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     mean_pool, frame_change, sandbox_eval, daily_counts, next_states,
     worker_records, piped_records, stream_deltas, image_urls, evidence_frames, strategy_instructions, accumulated_hits, first_two, waiting_queue,
     asset_records, preview_paths, upload_types, public_keys, visual_files, conversation_prompts, admitted_requests, session_states, outline_contexts,
-    solved_formulas, rendered_prompts, clock_times, video_durations, ivf_topk,
+    solved_formulas, rendered_prompts, clock_times, video_durations, ivf_topk, knn_join, question_hits,
 )
 
 _STRIP = r"regexp_replace(line, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
@@ -394,6 +418,8 @@ ORACLE: dict[str, str] = {
     "hybrid_rerank_topk": f"{_HITS} SELECT id, asset_name, modality, score, base_score FROM hits",
     "evidence_structs": f"{_HITS} SELECT score, base_score AS base_vector_score, content_ref AS content, asset_name, CASE WHEN modality = 'video' THEN timestamp END AS timestamp, CASE WHEN modality = 'pdf' THEN timestamp::INT END AS page_label FROM hits",
     "vector_scores": f"WITH {_Q} SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], q), 6) AS base FROM embeddings, q",
+    "knn_join": "SELECT question_id, place::INT AS place, id, round(base, 6) AS base FROM (SELECT q.vec_id AS question_id, e.vec_id AS id, list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS base, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS place FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) WHERE place <= 10",
+    "question_hits": f"WITH {_ASKED} SELECT question_id, place::INT AS place, id, asset_name, modality, score, base_score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, base DESC, id) AS place FROM scored) WHERE place <= 8",
     "overlap_align": f"WITH {_TIMED} SELECT f.asset, frame_id, coalesce(string_agg(text, ' ' ORDER BY start, segment_id), '') AS content, length(coalesce(string_agg(text, ' ' ORDER BY start, segment_id), '')) < 15 AS need_vision FROM f LEFT JOIN s ON {_MEET} GROUP BY f.asset, frame_id",
     "overlap_binned": f"WITH {_TIMED} SELECT f.asset, frame_id, segment_id FROM f JOIN s ON {_MEET}",
     "overlap_theta": f"WITH {_TIMED} SELECT f.asset, frame_id, segment_id FROM f JOIN s ON {_MEET}",

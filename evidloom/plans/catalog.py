@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidloom.functions import records, text, vectors
-from evidloom.operators import align, backends, collection, flatten, ivf, knn, outline, registry, retrieval, sessions, slicer
-from evidloom.streaming import assets
+from evidloom.operators import align, backends, collection, flatten, ivf, keywords, knn, outline, registry, retrieval, sessions, slicer
+from evidloom.streaming import assets, keyed
 
 #: The flagship's question.
 QUESTION, PREFER = "the", retrieval.Preferences("src1", "video", 3.0)
@@ -225,6 +225,13 @@ def exclude_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.filter(text.without_any(F.col("line"), KEYWORDS))
 
 
+def keyword_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines without any of the hundreds of longer words that the benchmark's passages have; the list is a table."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("keyword")).filter("length(keyword) >= 8")
+    return keywords.without_keywords(lines, "line", words)
+
+
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
@@ -262,6 +269,27 @@ def next_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", assets.next_state(status, F.col("o_totalprice") > 200000).alias("status"))
 
 
+#: The events of this binding lie hours apart, so its limits are twelve times those of real steps.
+SLOW = {s: {k: 12 * v for k, v in by.items()} for s, by in keyed.LIMITS.items()}
+
+
+def asset_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as assets whose events are steps that are done, or failed for errors; a limit passes where events are far apart."""
+    own = table(spark, sf_dir, "events").select(F.col("user_id").alias("asset_id"), "event_id", F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("event"), F.when(F.col("user_id") % 2 == 0, "pdf").otherwise("video").alias("asset_type"), F.col("ts").alias("at"))
+    since = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("at").cast("timestamp_ntz"))
+    return keyed.asset_history(own, limits=SLOW).select("asset_id", "status", since.alias("at_us"), "reason")
+
+
+_HISTORY = """e AS (SELECT user_id AS asset_id, event_id, event_type = 'error' AS failed, epoch_us(ts) AS t, CASE WHEN user_id % 2 = 0 THEN 1200 ELSE 1800 END AS own FROM events),
+done AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY t, event_id) AS n FROM e WHERE NOT failed),
+limits AS (SELECT *, t + 12000000::BIGINT * CASE n WHEN 2 THEN own WHEN 3 THEN 3600 WHEN 4 THEN 3600 WHEN 5 THEN 3600 END AS deadline FROM done WHERE n <= 6),
+bad AS (SELECT asset_id, min((t, event_id)) AS b FROM e WHERE failed GROUP BY asset_id),
+steps AS (SELECT l.*, lag(deadline) OVER (PARTITION BY l.asset_id ORDER BY n) AS before, b FROM limits l LEFT JOIN bad USING (asset_id)),
+met AS (SELECT *, bool_and(coalesce(t <= before, true) AND coalesce((t, event_id) < b, true)) OVER (PARTITION BY asset_id ORDER BY n) AS ok FROM steps),
+ends AS (SELECT a.asset_id, a.latest, bad.b[1] AS b, coalesce(max(n) FILTER (ok), 0) AS n FROM (SELECT asset_id, max(t) AS latest FROM e GROUP BY asset_id) a LEFT JOIN met USING (asset_id) LEFT JOIN bad USING (asset_id) GROUP BY ALL),
+last_ AS (SELECT ends.asset_id, latest, ends.b, ends.n, m.deadline FROM ends LEFT JOIN met m ON m.asset_id = ends.asset_id AND m.n = ends.n)"""
+
+
 def worker_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = F.concat(F.lit("started\nstill at it\n"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"v": '), "event_id", F.lit("}"))).otherwise(F.lit("gave up")), F.lit("\n"))
     own = table(spark, sf_dir, "events").select("event_id", records.last_line_record(out, "v bigint").alias("r"))
@@ -409,7 +437,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     mean_pool, frame_change, sandbox_eval, daily_counts, next_states,
     worker_records, piped_records, stream_deltas, image_urls, evidence_frames, strategy_instructions, accumulated_hits, first_two, waiting_queue,
     asset_records, preview_paths, upload_types, public_keys, visual_files, conversation_prompts, admitted_requests, session_states, outline_contexts,
-    solved_formulas, rendered_prompts, clock_times, video_durations, ivf_topk, knn_join, question_hits,
+    solved_formulas, rendered_prompts, clock_times, video_durations, ivf_topk, knn_join, question_hits, asset_histories, keyword_lines,
 )
 
 _STRIP = r"regexp_replace(line, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
@@ -446,6 +474,7 @@ UNION ALL SELECT asset_name, 'video', 'transcript_context', 'said ' || vec_id, v
     "anchor_format": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN (floor(abs(value))::BIGINT // 60) || ':' || lpad((floor(abs(value))::BIGINT % 60)::VARCHAR, 2, '0') ELSE 'P.' || trunc(abs(value))::INT END AS anchor FROM events",
     "bbox_scale": "SELECT event_id, round((event_id % 100)::DOUBLE * (800.0::DOUBLE / 595.28::DOUBLE), 6) AS x0, round(20::DOUBLE * (800.0::DOUBLE / 595.28::DOUBLE), 6) AS x1, round(30.5::DOUBLE * (800.0::DOUBLE / 595.28::DOUBLE), 6) AS x2, round(40::DOUBLE * (800.0::DOUBLE / 595.28::DOUBLE), 6) AS x3 FROM events",
     "exclude_keywords": f"SELECT doc_id, n::INT AS line_no, line FROM ({_LINES}) WHERE " + " AND ".join(f"NOT contains(line, '{k}')" for k in KEYWORDS),
+    "keyword_lines": f"WITH words AS MATERIALIZED (SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(text, '[^\\p{{L}}]+')) AS w FROM benchmark) WHERE length(w) >= 8), all_ AS (SELECT list(w) AS ws FROM words) SELECT doc_id, n::INT AS line_no, line FROM ({_LINES}), all_ WHERE len(list_filter(ws, lambda w: contains(line, w))) = 0",
     "json_props": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
     "marker_capture": "SELECT page_id, CASE WHEN contains(html, '<title>') AND contains(substring(html, strpos(html, '<title>') + 7), '</title>') THEN string_split(substring(html, strpos(html, '<title>') + 7), '</title>')[1] END AS title FROM pages",
     "l2_normalize": "SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS position, round(unnest(embedding)::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS x FROM embeddings",
@@ -454,6 +483,9 @@ UNION ALL SELECT asset_name, 'video', 'transcript_context', 'said ' || vec_id, v
     "sandbox_eval": "SELECT event_id, 2 * (event_id % 1000 + 3)::DOUBLE / 4 AS result FROM events",
     "daily_counts": "SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "next_states": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 AND o_orderstatus IN ('O', 'F') THEN 'Failed' WHEN o_orderstatus = 'O' THEN 'recognizing' ELSE 'Ready' END AS status FROM orders",
+    "asset_histories": f"""WITH {_HISTORY} SELECT asset_id, ['Raw', 'recognizing', 'Cliping', 'Structuring', 'Ingesting', 'Ready'][n] AS status, t AS at_us, 'done' AS reason FROM met WHERE ok
+UNION ALL SELECT asset_id, 'Failed', CASE WHEN b <= deadline OR b IS NOT NULL AND deadline IS NULL THEN b ELSE deadline END, CASE WHEN b <= deadline OR b IS NOT NULL AND deadline IS NULL THEN 'failed' ELSE 'timeout' END
+FROM last_ WHERE n < 6 AND (b <= deadline OR b IS NOT NULL AND deadline IS NULL OR deadline < latest)""",
     "worker_records": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'success' ELSE 'partial_success' END AS status, CASE WHEN event_id % 3 = 0 THEN event_id END AS v FROM events",
     "piped_records": "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN event_id::VARCHAR END AS id, CASE WHEN event_id % 4 <> 0 THEN event_type END AS kind FROM events",
     "stream_deltas": "SELECT conv_id, turn, role AS delta FROM conversations c WHERE turn NOT IN (1, 3) AND NOT EXISTS (SELECT 1 FROM conversations e WHERE e.conv_id = c.conv_id AND e.turn = 3 AND c.turn > 3) AND role IS NOT NULL",

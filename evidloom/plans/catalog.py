@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidloom.functions import records, text, vectors
 from evidloom.operators import align, backends, collection, flatten, ivf, keywords, knn, outline, registry, retrieval, sessions, slicer
+from evidloom.plans import copies
 from evidloom.streaming import assets, keyed
 
 #: The flagship's question.
@@ -329,8 +330,9 @@ def strategy_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accumulated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two attempts that share rows, the newest first, repeated ones once; ``place`` tells the order."""
     own = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    tries = [own.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(n).select("o_orderkey", "o_orderpriority") for n in (5, 3)]
-    ranked = [spark.createDataFrame([(*r, i) for i, r in enumerate(t.collect())], "o_orderkey bigint, o_orderpriority string, rank int") for t in tries]
+    place = (F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")) - 1).alias("rank")
+    tries = [own.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(n) for n in (5, 3)]
+    ranked = [t.select("o_orderkey", "o_orderpriority", place) for t in tries]
     return retrieval.accumulated(ranked, dedup=True).select("o_orderkey", "o_orderpriority", "attempt", "rank")
 
 
@@ -515,11 +517,11 @@ SELECT id, id AS name, CASE WHEN o_orderkey % 3 = 1 OR o_orderkey % 2 = 1 THEN '
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in (*QUERIES, *copies.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | copies.ORACLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,7 +66,7 @@ def parsed_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
     """(asset, start, end, segment_id, text), one row for each segment."""
-    rows = spark.read.schema(TRANSCRIPT).option("multiLine", True).json(path)
+    rows = spark.read.schema(TRANSCRIPT).option("multiLine", True).option("recursiveFileLookup", "true").json(path)
     return rows.select(F.col("asset_id").alias("asset"), F.posexplode("segments").alias("segment_id", "s")).select("asset", "s.start", "s.end", "segment_id", "s.text")
 
 

@@ -62,10 +62,10 @@ def save_sessions(found: DataFrame, path: str) -> None:
 
 
 def save_transcripts(segments: DataFrame, path: str) -> None:
-    """Segments (asset, language, duration, start, end, segment_id, text) as one record for each asset, times to two places."""
+    """Segments (asset, language, duration, start, end, segment_id, text) as one file for each asset, times to two places."""
     one = F.struct("segment_id", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), F.trim("text").alias("text"))
     rows = segments.groupBy(F.col("asset").alias("asset_id"), "language", F.round("duration", 2).alias("duration")).agg(F.array_sort(F.collect_list(one)).alias("segments"))
-    rows.write.mode("overwrite").json(path)
+    _by_asset(rows.withColumn("asset", F.col("asset_id")), path)
 
 
 def append_collection(rows: DataFrame, path: str) -> int:

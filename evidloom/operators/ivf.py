@@ -1,10 +1,16 @@
-"""An inverted-file index of the collection's vectors: cells around centroids, of which a search probes the nearest."""
+"""An inverted-file index of the collection's vectors: cells around centroids, of which a search probes the nearest.
+
+Beside its cell a vector may have a code of its residual, a byte for each few components. A search then reads cells
+and codes alone, adds up table entries for each row, and scores exactly only the few rows that come out best.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -52,3 +58,103 @@ def ivf_topk(rows: DataFrame, centroids: Centroids, query: list[float], k: int,
     """The k best by inner product (columns but the vector, and base) among the probed cells; with all cells probed, exactly the best."""
     near = rows.filter(F.col("cell").isin(centroids.nearest(query, probes))) if centroids.cells else rows
     return base_scores(near, query).drop("cell").orderBy(F.desc("base"), "id").limit(k)
+
+
+#: Components that a byte of a code stands for, entries of its table, rounds that they are fitted in, and rows that a search scores exactly.
+WIDTH, ENTRIES, FIT_ROUNDS, RESCORED = 4, 256, 12, 200
+
+
+@dataclass(frozen=True)
+class Codes:
+    """Centroids of cells, and for each run of ``WIDTH`` components the table of what a byte of a residual's code stands for."""
+
+    cells: np.ndarray
+    tables: tuple[np.ndarray, ...]
+
+    def encoded(self, vectors: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        rest, out = vectors - self.cells[cell], np.empty((len(vectors), len(self.tables)), np.uint8)
+        for j, table in enumerate(self.tables):
+            out[:, j] = _nearest(rest[:, j * WIDTH : (j + 1) * WIDTH], table)
+        return out
+
+    def scores(self, query: np.ndarray, codes: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Inner products of the query with what the codes stand for."""
+        total = (self.cells @ query)[cell]
+        for j, table in enumerate(self.tables):
+            total = total + (table @ query[j * WIDTH : (j + 1) * WIDTH])[codes[:, j]]
+        return total
+
+
+def _nearest(rows: np.ndarray, table: np.ndarray) -> np.ndarray:
+    out = np.empty(len(rows), np.int64)
+    for lo in range(0, len(rows), 1 << 14):
+        part = rows[lo : lo + (1 << 14)]
+        out[lo : lo + (1 << 14)] = ((table * table).sum(axis=1) - 2 * part @ table.T).argmin(axis=1)
+    return out
+
+
+def _fitted(rows: np.ndarray, seed: int) -> np.ndarray:
+    """At most ``ENTRIES`` entries near to all rows of a bounded sample; entries that nothing is near to stay."""
+    distinct = np.unique(rows, axis=0)
+    g = np.random.Generator(np.random.PCG64(seed))
+    table = distinct[g.permutation(len(distinct))[:ENTRIES]]
+    for _ in range(FIT_ROUNDS):
+        at = _nearest(rows, table)
+        many = np.bincount(at, minlength=len(table))
+        sums = np.stack([np.bincount(at, rows[:, d], len(table)) for d in range(rows.shape[1])], axis=1)
+        table = np.where(many[:, None] > 0, sums / np.maximum(many, 1)[:, None], table)
+    return table
+
+
+def coded(vectors: DataFrame, cells: int = CELLS, fitted: int = FITTED, seed: int = 1) -> tuple[Codes | None, DataFrame]:
+    """``vectors`` (id, vector) with ``cell`` and ``code``, and what they are read by; None for the empty table.
+
+    Centroids and tables are fitted on a sample of about ``fitted`` rows; every vector of the first one's length, a
+    multiple of ``WIDTH``, gets a code. Other rows are left out, as are those without a vector.
+    """
+    centroids, rows = indexed(vectors, cells=cells, fitted=fitted, seed=seed)
+    if not centroids.cells:
+        return None, rows.withColumn("code", F.lit(None).cast("binary"))
+    dim, n = len(centroids.cells[0]), rows.count()
+    rows = rows.filter((F.size("vector") == dim) & (F.lit(dim % WIDTH) == 0))
+    sample = rows.select("vector", "cell") if n <= fitted else rows.select("vector", "cell").sample(fitted / n, seed)
+    found, middle = sample.toArrow(), np.array(centroids.cells)
+    x = found.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+    rest = x - middle[found.column(1).to_numpy()]
+    codes = Codes(middle, tuple(_fitted(rest[:, lo : lo + WIDTH], seed) for lo in range(0, dim, WIDTH)))
+    known = vectors.sparkSession.sparkContext.broadcast(codes)
+    at, cell_at = rows.columns.index("vector"), rows.columns.index("cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(at).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+            code = known.value.encoded(v, batch.column(cell_at).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in code], pa.binary())], [*batch.schema.names, "code"])
+
+    return codes, rows.mapInArrow(run, rows.withColumn("code", F.lit(None).cast("binary")).schema)
+
+
+def coded_topk(rows: DataFrame, codes: Codes | None, query: list[float], k: int, probes: int = CELLS, rescored: int = RESCORED) -> DataFrame:
+    """The k best by inner product (columns but the vector, and base) among ``rescored`` rows that their codes choose.
+
+    ``rows`` is what ``coded`` gives, best written by ``saved``. Codes are read in the ``probes`` cells whose centroids
+    are best; no other cell's folder is, and of these no vector but those of the chosen ids. Each task keeps
+    ``rescored`` rows at most. Ties go to the smaller id.
+    """
+    if codes is None:
+        return base_scores(rows, query).drop("cell", "code").limit(0)
+    known, q = rows.sparkSession.sparkContext.broadcast(codes), np.array(query, float)
+    chosen = rows.filter(F.col("cell").isin(Centroids(tuple(map(tuple, codes.cells))).nearest(query, probes))).select("id", "cell", "code")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, near = np.empty(0, np.int64), np.empty(0)
+        for batch in batches:
+            code = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            ids = np.append(ids, batch.column(0).to_numpy())
+            near = np.append(near, known.value.scores(q, code, batch.column(1).to_numpy()))
+            best = np.lexsort((ids, -near))[:rescored]
+            ids, near = ids[best], near[best]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(near)], ["id", "near"])
+
+    found = chosen.mapInArrow(run, "id bigint, near double").orderBy(F.desc("near"), "id").limit(rescored).collect()
+    return base_scores(rows.filter(F.col("id").isin([r.id for r in found])), query).drop("cell", "code").orderBy(F.desc("base"), "id").limit(k)

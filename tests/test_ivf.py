@@ -30,3 +30,49 @@ def test_recall(spark):
         best = np.argsort(-(x @ q), kind="stable")[:10]
         found.append(np.isin(cells[best], centroids.nearest(q.tolist(), ivf.PROBES)).mean())
     assert len(found) == 40 and np.mean(found) >= 0.9
+
+
+def exact(x, ids, q, k=10):
+    return set(ids[np.lexsort((ids, -(x @ q)))[:k]].tolist())
+
+
+def test_codes_on_vectors_without_clusters(spark):
+    """All codes are read, a tenth of the vectors is scored; recall over all queries with an id divisible by 50."""
+    v = table(spark, "/root/testdata/sf0.1", "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    codes, rows = ivf.coded(v)
+    rows = rows.select("id", "cell", "code", "vector").collect()
+    ids, cells, x = np.array([r.id for r in rows]), np.array([r.cell for r in rows]), np.array([r.vector for r in rows], float)
+    code = np.array([np.frombuffer(r.code, np.uint8) for r in rows])
+    found = []
+    for q in x[ids % 50 == 0]:
+        near = np.argsort(-codes.scores(q, code, cells), kind="stable")[:200]
+        found.append(len(exact(x, ids, q) & set(ids[near].tolist())) / 10)
+    assert len(ids) == 2000 and len(found) == 40 and np.mean(found) >= 0.97
+
+
+def test_codes_on_clusters(spark, tmp_path):
+    """Under a fifth of the vectors is in the probed cells, and recall is at least 0.9; scores are exact."""
+    g = np.random.default_rng(8)
+    middle = g.normal(size=(60, 16))
+    x = np.concatenate([m + 0.15 * g.normal(size=(50, 16)) for m in middle])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, vector array<double>").repartition(6)
+    codes, rows = ivf.coded(v, cells=64)
+    ivf.saved(rows, str(tmp_path / "index"))
+    stored = ivf.loaded(spark, str(tmp_path / "index"))
+    ids, share, found = np.arange(len(x)), [], []
+    sizes = dict(stored.groupBy("cell").count().collect())
+    for i in range(0, len(x), 300):
+        got = ivf.coded_topk(stored, codes, x[i].tolist(), 10, probes=8, rescored=60).collect()
+        assert [round(r.base, 9) for r in got] == sorted((round(float(x[r.id] @ x[i]), 9) for r in got), reverse=True)
+        found.append(len(exact(x, ids, x[i]) & {r.id for r in got}) / 10)
+        share.append(sum(sizes.get(c, 0) for c in ivf.Centroids(tuple(map(tuple, codes.cells))).nearest(x[i].tolist(), 8)) / len(x))
+    assert np.mean(found) >= 0.9 and max(share) < 0.2, (found, share)
+
+
+def test_codes_edges(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0, 0.0]), (3, None), (4, []), (5, [0.0, 1.0, 0.0, 0.0])], "id long, vector array<double>")
+    codes, rows = ivf.coded(v, cells=2)
+    assert [r.id for r in ivf.coded_topk(rows, codes, [1.0, 0.0, 0.0, 0.0], 2).collect()] == [1, 2]
+    codes, rows = ivf.coded(v.limit(0))
+    assert codes is None and ivf.coded_topk(rows, codes, [1.0, 0.0, 0.0, 0.0], 2).collect() == []

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Sums that a task holds at most.
+HELD = 1 << 22
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -32,9 +40,43 @@ def mean_abs_difference(a: Column, b: Column, scale: float = 255.0) -> Column:
 
 
 def mean_pooled(rows: DataFrame, key: str, vector: str, name: str = "mean") -> DataFrame:
-    """The element-wise mean of each key's vectors, as (key, position, mean) rows; partial sums are made before the shuffle."""
-    each = rows.select(key, F.posexplode(doubles(F.col(vector))).alias("position", "x"))
-    return each.groupBy(key, "position").agg(F.avg("x").alias(name))
+    """The element-wise mean of each key's vectors, as (key, position, mean) rows.
+
+    Each task adds its vectors up and sends one row of sums for each key, so no component is ever a row of its own
+    before keys meet. Null vectors and null components don't count; a position where all are null has a null mean.
+    Vectors may differ in length. A task holds at most ``HELD`` sums before it sends them.
+    """
+    own = rows.select(key, F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+    kind = own.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            keys, sizes = batch.column(0).to_pylist(), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            flat = batch.column(1).flatten()
+            x, there, ends = flat.to_numpy(zero_copy_only=False), flat.is_valid().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+            x = np.where(there, x, 0.0)
+            for k, hi, n in zip(keys, ends.tolist(), sizes.tolist(), strict=True):
+                total = held.get((k, n))
+                if total is None:
+                    total = held[k, n] = [np.zeros(n), np.zeros(n, np.int64)]
+                total[0] += x[hi - n : hi]
+                total[1] += there[hi - n : hi]
+            if sum(n for _, n in held) > HELD:
+                yield _sums(held, batch.schema.field(0).type)
+                held = {}
+        if held:
+            yield _sums(held, batch.schema.field(0).type)
+
+    partial = own.mapInArrow(run, f"{key} {kind}, total array<double>, many array<bigint>")
+    each = partial.repartition(key).select(key, F.posexplode(F.arrays_zip("total", "many")).alias("position", "s"))
+    added = each.groupBy(key, "position").agg(F.sum("s.total").alias("total"), F.sum("s.many").alias("many"))
+    return added.select(key, "position", F.when(F.col("many") > 0, F.col("total") / F.col("many")).alias(name))
+
+
+def _sums(held: dict[tuple, list], kind: pa.DataType) -> pa.RecordBatch:
+    """The held sums as rows; a row stands for a key and a length of vectors."""
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], kind), pa.array([t for t, _ in held.values()], pa.list_(pa.float64())), pa.array([m for _, m in held.values()], pa.list_(pa.int64()))], ["key", "total", "many"])
 
 
 def collected(pooled: DataFrame, key: str, name: str = "mean") -> DataFrame:

@@ -53,6 +53,18 @@ def test_vectors(spark):
     assert values(vectors.collected(vectors.mean_pooled(df, "k", "v"), "k")) == [("a", [2.0, 3.0]), ("b", [5.0, 6.0])]
 
 
+def test_means(spark, monkeypatch):
+    data = [("a", [1.0, None, 3.0]), ("a", [2.0, None]), ("a", None), (None, [5.0]), (None, [7.0]), ("b", []), ("c", [float("inf"), 1.0]), ("hot", [0.1, 0.2])] + [("hot", [float(i), 1.0]) for i in range(500)]
+    df = spark.createDataFrame(data, "key string, v array<double>").repartition(5)
+    want = [(None, 0, 6.0), ("a", 0, 1.5), ("a", 1, None), ("a", 2, 3.0), ("c", 0, float("inf")), ("c", 1, 1.0)]
+    for held in (1 << 20, 1):
+        monkeypatch.setattr(vectors, "HELD", held)
+        got = vectors.mean_pooled(df, "key", "v")
+        assert values(got.filter("key is null or key <> 'hot'")) == sorted(want, key=str)
+        assert [round(r.mean, 9) for r in got.filter("key = 'hot'").orderBy("position").collect()] == [round((0.1 + 500 * 499 / 2) / 501, 9), round((0.2 + 500) / 501, 9)]
+    assert vectors.mean_pooled(df.limit(0), "key", "v").collect() == []
+
+
 def coll(spark, rows):
     full = [(i, [b, 0.0], a, m, c, t, r, "null") for i, b, a, m, c, t, r in rows]
     df = spark.createDataFrame(full, "id long, vector array<float>, asset_name string, modality string, content_type string, timestamp double, content_ref string, coordinates string")

@@ -94,21 +94,23 @@ def pieces(frames: DataFrame, change: float = CHANGE, gap: float = GAP) -> DataF
         for batch in batches:
             names, ts, signal = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
             cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            place, changed, ended = np.empty(len(names), np.int64), np.empty(len(names), bool), []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if lo == hi:
                     continue
                 if begun and names[lo] != asset:
-                    yield held.row(block, asset, gap, schema_arrow)
+                    ended.append(held.row(block, asset, gap))
                     held = _Piece()
                 asset, begun = names[lo], True
-                place = held.frames
-                changed = held.add(ts[lo:hi], signal[lo:hi], change)
-                part = batch.slice(lo, hi - lo)
-                flags = pa.array(changed, pa.bool_(), mask=np.arange(place, place + hi - lo) == 0)
-                columns = [pa.array([block] * (hi - lo), pa.int32()), part.column(0), pa.array(np.arange(place, place + hi - lo)), part.column(1), part.column(2), flags, pa.nulls(hi - lo, schema_arrow.field("piece").type)]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema_arrow)
+                place[lo:hi] = np.arange(held.frames, held.frames + hi - lo)
+                changed[lo:hi] = held.add(ts[lo:hi], signal[lo:hi], change)
+            n = len(names)
+            columns = [pa.array([block] * n, pa.int32()), batch.column(0), pa.array(place), batch.column(1), batch.column(2), pa.array(changed, pa.bool_(), mask=place == 0), pa.nulls(n, schema_arrow.field("piece").type)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema_arrow)
+            if ended:
+                yield pa.RecordBatch.from_pylist(ended, schema=schema_arrow)
         if begun:
-            yield held.row(block, asset, gap, schema_arrow)
+            yield pa.RecordBatch.from_pylist([held.row(block, asset, gap)], schema=schema_arrow)
 
     piece = pa.struct([("frames", pa.int64()), ("changes", pa.int64()), ("end", pa.float64()), ("before", pa.float64()), ("signal", pa.float64()), ("first_end", pa.float64()), ("first_kept", pa.int64()), ("runs", pa.list_(pa.struct([("hi", pa.float64()), ("end", pa.float64()), ("kept", pa.int64())])))])
     schema_arrow = pa.schema([*(pa.field(f.name, f.type) for f in kinds), pa.field("piece", piece)])
@@ -133,12 +135,11 @@ class _Piece:
         self.frames, self.signal, self.end = self.frames + len(ts), float(signal[-1]), float(ts[-1])
         return changed
 
-    def row(self, block: int, asset: object, gap: float, schema: pa.Schema) -> pa.RecordBatch:
+    def row(self, block: int, asset: object, gap: float) -> dict:
         times = np.concatenate(self.times)
         found = chains(times, gap)
         piece = {"frames": self.frames, "changes": len(times) - 1, "end": self.end, "before": self.before, "signal": self.signal, "first_end": found.first[0], "first_kept": found.first[1], "runs": [{"hi": h, "end": e, "kept": k} for h, e, k in found.runs]}
-        one = {"block": block, "asset": asset, "ts": float(times[0]), "piece": piece}
-        return pa.RecordBatch.from_pylist([one], schema=schema)
+        return {"block": block, "asset": asset, "ts": float(times[0]), "piece": piece}
 
 
 def entered(found: DataFrame, change: float = CHANGE, gap: float = GAP, target: int | None = None) -> DataFrame:
@@ -154,18 +155,22 @@ def entered(found: DataFrame, change: float = CHANGE, gap: float = GAP, target:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
+            out: list[dict] = []
             for row in batch.to_pylist():
                 if held and row["asset"] != held[0]["asset"]:
-                    yield from _entries(held, change, gap, target, out_schema)
+                    out += _entries(held, change, gap, target)
                     held = []
                 held.append(row)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=out_schema)
         if held:
-            yield from _entries(held, change, gap, target, out_schema)
+            yield pa.RecordBatch.from_pylist(_entries(held, change, gap, target), schema=out_schema)
 
     return rows.mapInArrow(run, f"block int, asset {rows.schema['asset'].dataType.simpleString()}, last double, first boolean, before double, offset bigint, step bigint, goal bigint, few boolean")
 
 
-def _entries(rows: list[dict], change: float, gap: float, target: int | None, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _entries(rows: list[dict], change: float, gap: float, target: int | None) -> list[dict]:
+    """The state that the scan comes to each piece of one asset with, and the asset's sample."""
     last, before, offset, kept, out = -gap, np.nan, 0, 1, []
     for i, r in enumerate(rows):
         out.append({"block": r["block"], "asset": r["asset"], "last": last, "first": i == 0, "before": before, "offset": offset})
@@ -178,7 +183,7 @@ def _entries(rows: list[dict], change: float, gap: float, target: int | None, sc
         before, offset = r["signal"], offset + r["frames"]
     goal = target or max(math.floor(rows[-1]["end"] / SECONDS_EACH), LEAST)
     rest = {"step": max(offset // goal, 1), "goal": goal, "few": kept < goal}
-    yield pa.RecordBatch.from_pylist([x | rest for x in out], schema=schema)
+    return [x | rest for x in out]
 
 
 def _scanned(found: DataFrame, states: DataFrame, change: float, gap: float, sampled: bool) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evidloom.functions import records, text, vectors
 from evidloom.operators import align, backends, collection, flatten, ivf, keywords, knn, outline, registry, retrieval, sessions, slicer
-from evidloom.plans import copies
+from evidloom.plans import copies, shapes
 from evidloom.sources.stored import stored
 from evidloom.streaming import assets, keyed
 
@@ -528,11 +528,11 @@ ORACLE["index_topk"] = ORACLE["ivf_topk"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*QUERIES, *copies.QUERIES)}
+    return {f.__name__: f for f in (*QUERIES, *copies.QUERIES, *shapes.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | copies.ORACLE
+    return ORACLE | copies.ORACLE | shapes.ORACLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import chain, islice
+from sys import getsizeof
 
 import numpy as np
 import public_tokenizers
@@ -14,9 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidloom.llm.common import text_of
-from evidloom.llm.pretokens import REMEMBERED, Cutter, byte_alphabet
+from evidloom.llm.pretokens import Cutter, byte_alphabet
+from evidloom.llm.token_counts import slices
 
 NORMAL, UNKNOWN, BPE = 1, 2, 2
+#: Texts and bytes encoded at a time (one text at least), chunks looked up at a time, pre-tokens in a call of the library.
+TEXTS, SLICE_BYTES, RUN, CALL = 256, 1 << 20, 4096, 1 << 15
+#: Bytes that a worker remembers of chunks and their ids, and what a chunk takes besides; above, it starts anew.
+KNOWN_BYTES, ENTRY = 128 << 20, 110
+#: Ids decoded at a time, in bytes.
+DECODED = 1 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -74,29 +83,73 @@ class Codec:
         n = self.sp.get_piece_size() - 1
         self.token = [bytes(byte[c] for c in self.sp.id_to_piece(i)) for i in range(n)]
         self.letters = {b: c for b, c in enumerate(letters)}
-        self.cutter, self.known = Cutter(pattern), {}
+        self.cutter, self.known, self.held = Cutter(pattern), {}, 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; the library is called once for all of their pre-tokens."""
-        cuts = [self.cutter.cut(t) for t in texts]
-        pieces = [p.encode().decode("latin-1").translate(self.letters) for cut in cuts for p in cut]
-        found = iter(self.sp.encode(pieces, out_type=int, num_threads=1) if pieces else [])
-        return [np.fromiter((i for _ in cut for i in next(found)), "<u4").tobytes() for cut in cuts]
+        """The ids of each text; the library is called for many pre-tokens at a time, of several texts or of part of one."""
+        out = [[] for _ in texts]
+        waiting: list[str] = []
+        owners: list[tuple[int, int]] = []
+
+        def call() -> None:
+            pieces = [p.encode().decode("latin-1").translate(self.letters) for p in waiting]
+            found = iter(self.sp.encode(pieces, out_type=int, num_threads=1) if pieces else [])
+            for i, n in owners:
+                out[i].append(np.fromiter(chain.from_iterable(islice(found, n)), "<u4").tobytes())
+            waiting.clear()
+            owners.clear()
+
+        for i, t in enumerate(texts):
+            cut = iter(self.cutter.cut(t)) if len(t) < CALL else self.cutter.each(t)
+            while piece := list(islice(cut, CALL)):
+                waiting += piece
+                owners.append((i, len(piece)))
+                if len(waiting) >= CALL:
+                    call()
+        call()
+        return [b"".join(x) for x in out]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; each chunk that no text had before is encoded once."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
+        """The ids of each text; each chunk that the worker remembers is not encoded again."""
         parts = [self.cutter.chunks(t) for t in texts]
-        new = list({c for _, chunks in parts for c in chunks if c not in known})
-        known.update(zip(new, self._encode([" " + c for c in new]), strict=True))
         alone = iter(self._encode([a for first, _ in parts for a in first]))
-        return [b"".join([*(next(alone) for _ in first), *(known[c] for c in chunks)]) for first, chunks in parts]
+        out = [bytearray(b"".join(next(alone) for _ in first)) for first, _ in parts]
+        run: list[tuple[int, list[str]]] = []
+        many = 0
+        for i, (_, chunks) in enumerate(parts):
+            for lo in range(0, len(chunks), RUN):
+                piece = chunks[lo : lo + RUN]
+                if many + len(piece) > RUN:
+                    self._look_up(run, out)
+                    run, many = [], 0
+                run.append((i, piece))
+                many += len(piece)
+        self._look_up(run, out)
+        return list(map(bytes, out))
+
+    def _look_up(self, run: list[tuple[int, list[str]]], out: list[bytearray]) -> None:
+        """Adds the ids of each text's chunks to its own."""
+        known = self.known
+        if self.held > KNOWN_BYTES:
+            known.clear()
+            self.held = 0
+        new = list({c for _, piece in run for c in piece if c not in known})
+        ids = self._encode([" " + c for c in new])
+        known.update(zip(new, ids, strict=True))
+        self.held += sum(map(getsizeof, new)) + sum(map(getsizeof, ids)) + ENTRY * len(new)
+        for i, piece in run:
+            out[i] += b"".join(map(known.__getitem__, piece))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def decoded_sha256(self, ids: bytes) -> str:
+        """The hash of the decoded bytes, decoded part by part."""
+        seen = hashlib.sha256()
+        for lo in range(0, len(ids), DECODED):
+            seen.update(self.decode(ids[lo : lo + DECODED]))
+        return seen.hexdigest()
+
 
 #: A worker's codec, kept from task to task with what it knows.
 _CODEC: dict[tuple[int, str], Codec] = {}
@@ -115,7 +168,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     One pass without a shuffle. Null texts are empty: no ids, and the hashes of nothing. Null and repeated ids give
     a row for each row. Special tokens are never made; strings that look like one are ordinary text. Other columns
-    are left out. ``vocabulary`` is a rank file (default: the public byte-level one of 50,256 tokens); the model
+    are left out. Long texts are cut and encoded part by part; only one pre-token has to be in the library at once, and
+    what a worker remembers is bounded in bytes. ``vocabulary`` is a rank file (default: the public byte-level one of 50,256 tokens); the model
     made from it, about a megabyte whatever the data, is what tasks get.
     """
     model = docs.sparkSession.sparkContext.broadcast(sentencepiece_model(read_ranks(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"))))
@@ -124,14 +178,13 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value, pattern)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):  # few texts at a time: ids take more room than text
-                part = batch.slice(lo, 256)
+            for part in slices(batch, TEXTS, SLICE_BYTES):  # little text at a time: ids take more room
                 got = codec.encode([t or "" for t in part.column(1).to_pylist()])
                 columns = [
                     part.column(0),
                     pa.array([len(x) // 4 for x in got], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in got]),
-                    pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in got]),
+                    pa.array([codec.decoded_sha256(x) for x in got]),
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:

@@ -6,17 +6,22 @@ chunk alone, with the space before it. So a task cuts every distinct chunk once;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import regex
 
 #: A space with white space beside it, where chunks depend on each other.
 MEETING = regex.compile(r" \s|\s ")
-#: Distinct chunks a task remembers; above, it starts anew.
-REMEMBERED = 500_000
 
 
 class Cutter:
     def __init__(self, pattern: str):
-        self.cut = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.cut = self.pattern.findall
+
+    def each(self, text: str) -> Iterator[str]:
+        """The pre-tokens one by one, for texts whose list would be long."""
+        return (m.group() for m in self.pattern.finditer(text))
 
     def chunks(self, text: str) -> tuple[list[str], list[str]]:
         """Strings that are cut each for itself (rare), and chunks to be cut with a space before them."""

@@ -1,9 +1,13 @@
 import base64
 import hashlib
+import random
+from sys import getsizeof
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from evidloom.llm import bpe_codec
 from evidloom.llm.bpe_codec import encode_documents
 from evidloom.llm.common import table
 from evidloom.llm.token_counts import count_tokens
@@ -53,3 +57,22 @@ def test_long_and_hot_pretokens(spark):
     want = sorted((d, len(x.encode()), n := len(t.encode(x, add_special_tokens=False).ids), n > 512) for d, x in rows)
     for head in (4, 1 << 18):
         assert sorted(map(tuple, count_tokens(df, head=head).collect())) == want
+
+
+def test_long_texts_and_many_long_chunks(monkeypatch):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(2)
+    codec = bpe_codec.Codec(bpe_codec.sentencepiece_model(bpe_codec.read_ranks(P.path("byte_bpe_50k.tiktoken"))), P.PATTERN)
+    monkeypatch.setattr(bpe_codec, "KNOWN_BYTES", 1 << 20)
+    chunk = lambda n: "".join(rng.choices("abcdé1,.", k=n))
+    texts = [" ".join(chunk(rng.randrange(1, 9)) for _ in range(60_000)), "  ".join(chunk(4) for _ in range(60_000)), "", " ", chunk(20_000)]
+    texts += [" ".join(chunk(3_000) for _ in range(20)) for _ in range(40)]
+    most = 0
+    for lo in range(0, len(texts), 4):
+        for text, ids in zip(texts[lo : lo + 4], codec.encode(texts[lo : lo + 4]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode_ordinary(text)
+            assert codec.decoded_sha256(ids) == hashlib.sha256(text.encode()).hexdigest()
+        most = max(most, codec.held)
+    held = sum(getsizeof(k) + getsizeof(v) for k, v in codec.known.items())
+    assert held <= codec.held and most < 3 << 20

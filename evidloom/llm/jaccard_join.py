@@ -26,10 +26,13 @@ from pyspark.sql import functions as F
 from evidloom.llm.common import discard, pieces_of, written
 from evidloom.llm.components import components
 from evidloom.llm.shingles import shingle_sets, signature
+from evidloom.llm.token_counts import slices
 
 PERCENT = 80
 #: Groups of a list that one task compares with as many others.
 CHUNK = 512
+#: Texts and bytes that are hashed at a time; one text at least.
+TEXTS, SLICE_BYTES = 512, 4 << 20
 #: How many blocks' bytes a bucket of shingles stands for; a block sends rows only to buckets that it has a shingle for.
 COUNTED = 2
 #: Partners for each group in each round before what is left is compared in full.
@@ -52,8 +55,7 @@ def signatures(docs: DataFrame, size: int, text_col: str, name: str) -> DataFram
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in slices(batch, TEXTS, SLICE_BYTES):
                 sets = shingle_sets(_texts(pa.chunked_array([part.column(at)])), size)
                 more = [pa.array([signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, name, f"{name}_n"])
@@ -64,8 +66,8 @@ def signatures(docs: DataFrame, size: int, text_col: str, name: str) -> DataFram
 def _block(docs: pa.Table, chosen: dict[bytes, int], size: int) -> tuple[list[int], list[np.ndarray]]:
     """Numbers and sets of the classes that this block stands for."""
     vids, sets = [], []
-    for lo in range(0, docs.num_rows, 512):
-        for s in shingle_sets(_texts(docs.column("text").slice(lo, 512)), size):
+    for part in slices(docs.select(["text"]), TEXTS, SLICE_BYTES):
+        for s in shingle_sets(_texts(part.column("text")), size):
             vid = chosen.pop(signature(s), None)
             if vid is not None:
                 vids.append(vid)

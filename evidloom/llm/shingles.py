@@ -37,22 +37,36 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word begins, and its hash; words stand between separator bytes."""
-    starts, hashes, lo = [], [], 0
-    while lo < len(data):
-        hi = min(len(data), lo + CHUNK)
-        while hi < len(data) and not _IS_SEPARATOR[data[hi]]:  # a word stays whole
-            hi += 1
-        b = np.frombuffer(data, np.uint8, hi - lo, lo)
+    """Where each word begins, and its hash; words stand between separator bytes.
+
+    The text is read in pieces of one size; a word that a piece's end cuts goes on with what it summed to, so a word
+    of any length takes no more room.
+    """
+    starts, hashes = [], []
+    cut = None  # begin, sum and length of a word whose end isn't read yet
+    power, inverse = _power(min(len(data), CHUNK) + 1)
+    for lo in range(0, len(data), CHUNK):
+        b = np.frombuffer(data, np.uint8, min(CHUNK, len(data) - lo), lo)
         blank = np.concatenate([[True], _IS_SEPARATOR[b], [True]])
         edge = np.flatnonzero(blank[1:] != blank[:-1])
         begin, end = edge[::2], edge[1::2]
-        power, inverse = _power(len(b) + 1)
         sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(_BYTES[b] * power[: len(b)], out=sums[1:])
-        hashes.append(mixed((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64)))
-        starts.append(begin + lo)
-        lo = hi
+        value, length, begin = (sums[end] - sums[begin]) * inverse[begin], (end - begin).astype(np.uint64), begin + lo
+        if cut:
+            at, so_far, n = cut
+            if len(begin) and begin[0] == lo:
+                value[0] = (so_far + int(value[0]) * pow(int(_BASE), n, 1 << 64)) % (1 << 64)
+                length[0] += _U(n)
+                begin[0] = at
+            else:
+                value, length, begin = np.append(_U(so_far), value), np.append(_U(n), length), np.append(at, begin)
+            cut = None
+        if len(end) and end[-1] == len(b) and lo + len(b) < len(data):
+            cut = int(begin[-1]), int(value[-1]), int(length[-1])
+            value, length, begin = value[:-1], length[:-1], begin[:-1]
+        starts.append(begin)
+        hashes.append(mixed(value + length))
     return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.empty(0, np.int64), np.empty(0, np.uint64))
 
 

@@ -1,7 +1,10 @@
 import random
+import re
+import tracemalloc
 
 import pytest
 from evidloom.llm import catalog, jaccard_join
+from evidloom.llm import shingles as shingles_of
 from evidloom.llm.common import table
 from evidloom.llm.components import components
 from oracle import check
@@ -128,3 +131,32 @@ def test_long_lists_in_chunks(spark, monkeypatch):
 def test_equals_sql(spark):
     d = "/root/testdata/sf0.01"
     check(catalog.op5_jaccard_join(spark, d), d, jaccard_join.ORACLE)
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 1 << 20])
+def test_words_cut_by_pieces_keep_their_hash(monkeypatch, piece):
+    """Words are the same whatever the pieces are; equal words have equal hashes, different ones others."""
+    rng = random.Random(piece)
+    texts = ["", " ", "a", "a ", " a", "ab", "abcdefgh", "x" * 50] + ["".join(rng.choices("ab \n\té", k=rng.randrange(60))) for _ in range(200)]
+    want = [[(m.start(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", t.encode())] for t in texts]
+    whole = [shingles_of.word_hashes(t.encode())[1].tolist() for t in texts]
+    monkeypatch.setattr(shingles_of, "CHUNK", piece)
+    hash_of = {}
+    for t, words, before in zip(texts, want, whole, strict=True):
+        starts, hashes = shingles_of.word_hashes(t.encode())
+        assert hashes.tolist() == before
+        assert starts.tolist() == [a for a, _ in words]
+        for (_, w), h in zip(words, hashes.tolist(), strict=True):
+            assert hash_of.setdefault(w, h) == h
+    assert len(set(hash_of.values())) == len(hash_of)
+
+
+def test_one_long_word_takes_bounded_room():
+    """Beside the text and its copy, room for arrays of a piece, not of the word."""
+    text = b"w" * (20 << 20) + b" " + b"w" * (20 << 20)
+    tracemalloc.start()
+    starts, hashes = shingles_of.word_hashes(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert starts.tolist() == [0, (20 << 20) + 1] and hashes[0] == hashes[1]
+    assert peak < 128 << 20

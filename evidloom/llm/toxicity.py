@@ -1,12 +1,14 @@
-"""Toxicity by compression distance: one zstandard dictionary trained on toxic text, one on ordinary text.
+"""Toxicity by compression distance between two zstandard dictionaries, one for toxic and one for ordinary text.
 
 A window is one word between its separators, before a fixed passage that both dictionaries know, so that the two
 compressed lengths differ by nothing but that word. How many windows of a text gain how many bytes from the toxic
 dictionary is weighed by a logistic model whose thresholds are calibrated on training labels.
 
-The toxic dictionary is made of the cores of toxic text: byte strings that come in more toxic training texts than
-chance explains; it is as long as they are. Training takes a bounded sample of labelled rows; scores cover all words
-of all texts.
+Only the ordinary dictionary is trained by the library. The toxic one is made of the cores of toxic text: byte strings
+that come in more toxic training texts than chance explains; it is as long as they are. That is another method than
+training it too and comparing windows of several words, which misses most toxic texts (README has the figures).
+Training takes a bounded sample of labelled rows; near copies in it, of whose sentences over a third were seen, teach
+the dictionaries once. Scores cover all words of all texts.
 """
 
 from __future__ import annotations

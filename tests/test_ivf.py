@@ -76,3 +76,20 @@ def test_codes_edges(spark):
     assert [r.id for r in ivf.coded_topk(rows, codes, [1.0, 0.0, 0.0, 0.0], 2).collect()] == [1, 2]
     codes, rows = ivf.coded(v.limit(0))
     assert codes is None and ivf.coded_topk(rows, codes, [1.0, 0.0, 0.0, 0.0], 2).collect() == []
+
+
+def test_exact_search_finds_what_codes_rank_low(spark):
+    """Among vectors without clusters, few rows that codes choose miss some of the best; an exact search doesn't."""
+    g = np.random.default_rng(5)
+    x = g.normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, vector array<double>").repartition(4)
+    codes, rows = ivf.coded(v, cells=4)
+    rows, ids, missed = rows.cache(), np.arange(len(x)), 0
+    for i in range(0, 200, 50):
+        some, got = ([r.id for r in ivf.coded_topk(rows, codes, x[i].tolist(), 10, rescored=12, exact=e).collect()] for e in (False, True))
+        assert got == ids[np.lexsort((ids, -(x @ x[i])))[:10]].tolist()
+        missed += some != got
+    assert missed
+    assert [r.id for r in ivf.coded_topk(rows, codes, x[0].tolist(), 10, rescored=3, exact=True).collect()] == ids[np.lexsort((ids, -(x @ x[0])))[:10]].tolist()
+    rows.unpersist()

@@ -45,6 +45,11 @@ def _texts(column: pa.ChunkedArray) -> list[bytes]:
     return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column.combine_chunks().cast(pa.large_binary())]
 
 
+def place_of(id_col: str, text_col: str) -> Column:
+    """A hash of a row's id and text."""
+    return F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -273,7 +278,7 @@ def all_links(sets: DataFrame, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, block_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, n, sig), classes (sig, id, rows, vid), and the sets of classes that may have a partner."""
-    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("place", F.xxhash64("doc_id", "text"))
+    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), place_of(id_col, text_col).alias("place"))
     rows = written(signatures(own, size, "text", "sig").select("doc_id", F.col("sig_n").alias("n"), "sig", "place"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = pieces_of(total, block_bytes)
@@ -326,12 +331,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows, classes = _classified(docs, id_col, text_col, size, percent, block_bytes)
     heads = classes.filter("first").select(F.col("sig").alias("head_sig"), F.col("id").alias("head_id"))
-    copies = rows.join(heads, (F.col("sig") == F.col("head_sig")) & F.col("doc_id").eqNullSafe(F.col("head_id"))).groupBy("head_sig", "head_id").agg(F.count(F.lit(1)).alias("copies"))
-    inner = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("own_id"), F.col(text_col).cast("string").alias("text"))
-    signed = signatures(inner, size, "text", "own_sig").drop("text", "own_sig_n")
-    kept = signed.join(copies, (F.col("own_sig") == F.col("head_sig")) & F.col("own_id").eqNullSafe(F.col("head_id")), "left").filter("own_sig is null or copies is not null")
-    once = kept.filter("copies is null or copies = 1")
-    return once.unionByName(kept.filter("copies > 1").dropDuplicates(["own_sig"])).select("row.*")
+    at = rows.groupBy("sig", "doc_id", "place").agg(F.count(F.lit(1)).alias("copies"))
+    of_head = at.join(heads, (F.col("sig") == F.col("head_sig")) & F.col("doc_id").eqNullSafe(F.col("head_id")))
+    one = of_head.groupBy("sig", "doc_id").agg(F.min(F.struct("place", "copies")).alias("first")).select("doc_id", "first.*")
+    keys = one.unionByName(at.filter("sig is null").select("doc_id", "place", F.lit(1).alias("copies")))
+    # Rows are known again by id and hash, so no text goes through Python a second time.
+    inner = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("own_id"), place_of(id_col, text_col).alias("own_place"))
+    kept = inner.join(keys, (F.col("own_place") == F.col("place")) & F.col("own_id").eqNullSafe(F.col("doc_id")))
+    once = kept.filter("copies = 1")
+    return once.unionByName(kept.filter("copies > 1").dropDuplicates(["own_id", "own_place"])).select("row.*")
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -160,3 +160,15 @@ def test_one_long_word_takes_bounded_room():
     tracemalloc.stop()
     assert starts.tolist() == [0, (20 << 20) + 1] and hashes[0] == hashes[1]
     assert peak < 128 << 20
+
+
+def test_texts_are_hashed_once_for_the_rows_that_stay(spark, monkeypatch):
+    """Rows with the head's id and words but another text, copies, blank and null ones; texts go through Python signatures once."""
+    calls, before = [], jaccard_join.signatures
+    monkeypatch.setattr(jaccard_join, "signatures", lambda *a: calls.append(a) or before(*a))
+    rows = [(1, "a b c d e f", "x"), (1, "a  b c d e f", "y"), (1, "a b c d e f", "x"), (2, "A b c d e f", "z"), (3, " ", "p"), (3, " ", "q"), (None, None, "r"), (None, "", "s"), (4, "g h", "t"), (None, "g h", "u"), (None, "k", "v"), (None, "k", "w")]
+    kept = jaccard_join.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, more string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.more) for r in kept if r.more in "pqrst") == [(0, "r"), (0, "s"), (3, "p"), (3, "q"), (4, "t")]
+    rest = [r.more for r in kept if r.more not in "pqrst"]
+    assert len(rest) == 2 and sum(m in "xy" for m in rest) == 1 and sum(m in "vw" for m in rest) == 1
+    assert len(calls) == 1

@@ -23,7 +23,7 @@ HEAD = 1 << 18
 #: Longer pre-tokens, in bytes, go by a digest.
 KEY_BYTES = 40
 #: Bytes of different strings that a task holds between two flushes.
-HELD_BYTES = 32 << 20
+HELD_BYTES = 64 << 20
 #: Texts, pre-tokens for one library call, and bytes that are taken up at a time.
 TEXTS, LIBRARY, SLICE_BYTES = 256, 1024, 8 << 20
 #: A string's share of the budget beside its bytes: object, table entry and count.
@@ -80,23 +80,25 @@ def pretoken_frequencies(docs: DataFrame, pattern: str, special: str) -> DataFra
                     found[p] += k
             chunks.clear()
 
-        held = 0
+        def size() -> int:
+            return 2 * (sum(map(len, chunks)) + ENTRY * len(chunks)) + sum(map(len, found)) + ENTRY * len(found)
+
+        held = 0  # no less than what is held: texts count whole until the strings themselves are measured
         for batch in batches:
             for t in batch.column(1):
-                alone, rest, _ = _parts(cutter, t.as_py(), special)
-                for c in rest:
-                    if c not in chunks:
-                        held += 2 * (len(c) + ENTRY)
-                    chunks[c] += 1
+                text = t.as_py()
+                alone, rest, _ = _parts(cutter, text, special)
+                before = 2 * len(chunks) + len(found)
+                chunks.update(rest)
                 for a in alone:
-                    for p in cutter.cut(a):
-                        if p not in found:
-                            held += len(p) + ENTRY
-                        found[p] += 1
+                    found.update(cutter.cut(a))
+                held += 2 * len(text) + ENTRY * (2 * len(chunks) + len(found) - before)
                 if held > HELD_BYTES:
-                    cut()
-                    yield from sums()
-                    held = 0
+                    held = size()
+                    if held > HELD_BYTES // 2:
+                        cut()
+                        yield from sums()
+                        held = 0
         cut()
         yield from sums()
 
@@ -151,7 +153,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = spark.sparkContext.broadcast(Head.of(frequent.select("key", "n_pieces").toArrow()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, common, of_chunk, held = Cutter(pattern), known.value.table(), {}, 0
+        cutter, common, held = Cutter(pattern), known.value.table(), 0
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
 
         def look(c: str) -> int:
@@ -159,6 +161,17 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             got = [common.get(p) if len(p) <= KEY_BYTES // 4 else common.get(key_of(p)) for p in cutter.cut(" " + c)]
             return -1 if None in got else sum(got)
 
+        class Looked(dict):
+            """Chunks met before; a new one is looked up."""
+
+            def __missing__(self, c: str) -> int:
+                nonlocal held
+                held += len(c) + ENTRY
+                n = self[c] = look(c)
+                return n
+
+
+        of_chunk = Looked()
         for batch in batches:
             for part in slices(batch, TEXTS, SLICE_BYTES):
                 out = [[], [], [], [], []]
@@ -169,15 +182,12 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     if held > HELD_BYTES:
                         of_chunk.clear()
                         held = 0
-                    for c in chunks:
-                        n = of_chunk.get(c)
-                        if n is None:
-                            n = of_chunk[c] = look(c)
-                            held += len(c) + ENTRY
-                        if n < 0:
-                            alone.append(" " + c)
-                        else:
-                            total += n
+                    counts = list(map(of_chunk.__getitem__, chunks))
+                    if -1 in counts:
+                        rest = [" " + c for c, n in zip(chunks, counts, strict=True) if n < 0]
+                        alone += rest
+                        total += len(rest)
+                    total += sum(counts)
                     for a in alone:
                         for p in cutter.cut(a):
                             key = key_of(p)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidloom.llm import bpe_codec, jaccard_join, mixing, secrets, toxicity
-from evidloom.llm.common import fresh, table, written
+from evidloom.llm.common import fresh, small_batches, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +41,22 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_documents(docs)
 
 
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose Python workers get little text at a time; they live from stage to stage, and so does what they took."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES: list = [
-    ("toxicity", drop_toxic),
-    ("n-gram Jaccard join", drop_near_duplicates),
-    ("secret scans", redact_secrets),
-    ("mixing sources to target weights", mix_sources),
-    ("byte-level BPE encoding and decoding", encode),
+    ("toxicity", in_small_batches(drop_toxic)),
+    ("n-gram Jaccard join", in_small_batches(drop_near_duplicates)),
+    ("secret scans", in_small_batches(redact_secrets)),
+    ("mixing sources to target weights", in_small_batches(mix_sources)),
+    ("byte-level BPE encoding and decoding", in_small_batches(encode)),
 ]
 #: No single statement expresses the stages; tests hold them against brute force.
 ORACLE_SQL = None

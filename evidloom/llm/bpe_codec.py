@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import text_of
+from evidloom.llm.common import giving_back, text_of
 from evidloom.llm.pretokens import Cutter, byte_alphabet
 from evidloom.llm.token_counts import slices
 
 NORMAL, UNKNOWN, BPE = 1, 2, 2
 #: Texts and bytes encoded at a time (one text at least), chunks looked up at a time, pre-tokens in a call of the library.
 TEXTS, SLICE_BYTES, RUN, CALL = 256, 1 << 20, 4096, 1 << 15
-#: Bytes that a worker remembers of chunks and their ids, and what a chunk takes besides; above, it starts anew.
-KNOWN_BYTES, ENTRY = 128 << 20, 110
+#: Bytes that a task remembers of chunks and their ids, and what a chunk takes besides; above, it starts anew.
+KNOWN_BYTES, ENTRY = 64 << 20, 110
 #: Ids decoded at a time, in bytes.
 DECODED = 1 << 20
 
@@ -110,7 +110,7 @@ class Codec:
         return [b"".join(x) for x in out]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; each chunk that the worker remembers is not encoded again."""
+        """The ids of each text; each chunk that the task remembers is not encoded again."""
         parts = [self.cutter.chunks(t) for t in texts]
         alone = iter(self._encode([a for first, _ in parts for a in first]))
         out = [bytearray(b"".join(next(alone) for _ in first)) for first, _ in parts]
@@ -131,8 +131,7 @@ class Codec:
         """Adds the ids of each text's chunks to its own."""
         known = self.known
         if self.held > KNOWN_BYTES:
-            known.clear()
-            self.held = 0
+            self.forget()
         new = list({c for _, piece in run for c in piece if c not in known})
         ids = self._encode([" " + c for c in new])
         known.update(zip(new, ids, strict=True))
@@ -140,6 +139,10 @@ class Codec:
         for i, piece in run:
             out[i] += b"".join(map(known.__getitem__, piece))
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -151,7 +154,7 @@ class Codec:
         return seen.hexdigest()
 
 
-#: A worker's codec, kept from task to task with what it knows.
+#: A worker's codec, kept from task to task without what a task remembers.
 _CODEC: dict[tuple[int, str], Codec] = {}
 
 
@@ -169,7 +172,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     One pass without a shuffle. Null texts are empty: no ids, and the hashes of nothing. Null and repeated ids give
     a row for each row. Special tokens are never made; strings that look like one are ordinary text. Other columns
     are left out. Long texts are cut and encoded part by part; only one pre-token has to be in the library at once, and
-    what a worker remembers is bounded in bytes. ``vocabulary`` is a rank file (default: the public byte-level one of 50,256 tokens); the model
+    what a task remembers is bounded in bytes. ``vocabulary`` is a rank file (default: the public byte-level one of 50,256 tokens); the model
     made from it, about a megabyte whatever the data, is what tasks get.
     """
     model = docs.sparkSession.sparkContext.broadcast(sentencepiece_model(read_ranks(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"))))
@@ -191,6 +194,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in got], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        codec.forget()
 
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
-    return own.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
+    return own.mapInArrow(giving_back(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ SEPARATORS = " \t\n\x0b\x0c\r"
 SEPARATOR_RUN = r"[\x20\x09-\x0D]+"
 #: The session's setting for storage that the driver and all executors share.
 SHARED_DIR = "spark.checkpoint.dir"
+#: The session's setting for the bytes of a batch that goes to a Python worker, and what ``small_batches`` sets it to.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +55,29 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Python workers get batches of about ``BATCH_BYTES``, one row at least, however long the texts are."""
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system: a Python worker outlives its tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, and then what it held goes back to the system."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def text_of(col: str | Column) -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import discard, pieces_of, written
+from evidloom.llm.common import discard, give_back, giving_back, pieces_of, written
 from evidloom.llm.components import components
 from evidloom.llm.shingles import shingle_sets, signature
 from evidloom.llm.token_counts import slices
@@ -65,7 +65,7 @@ def signatures(docs: DataFrame, size: int, text_col: str, name: str) -> DataFram
                 more = [pa.array([signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, name, f"{name}_n"])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("binary").alias(name), F.lit(None).cast("bigint").alias(f"{name}_n")).schema)
+    return docs.mapInArrow(giving_back(run), docs.select("*", F.lit(None).cast("binary").alias(name), F.lit(None).cast("bigint").alias(f"{name}_n")).schema)
 
 
 def _block(docs: pa.Table, chosen: dict[bytes, int], size: int) -> tuple[list[int], list[np.ndarray]]:
@@ -98,6 +98,7 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, n: int, size: int, perce
         return dict(zip(classes.column("sig").to_pylist(), classes.column("vid").to_pylist(), strict=True))
 
     def send(key, docs, classes):
+        give_back()  # what the group before left
         sets = _block(docs, named(classes), size)[1]
         distinct, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
         # A block's share of a count is cut at 255; only the order of shingles depends on it, never which are shared.
@@ -108,6 +109,7 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, n: int, size: int, perce
 
     def count(key, rows):
         """Steps of an eighth of a power of two of how many classes have each shingle; 0 for one."""
+        give_back()
         keys = [np.frombuffer(x, np.uint32) for x in rows.column("keys").to_pylist()]
         few = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8)
         _, own = np.unique(np.concatenate(keys), return_inverse=True)
@@ -117,6 +119,7 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, n: int, size: int, perce
         return pa.table([rows.column("block"), rows.column("bucket"), pa.array([None] * len(keys), pa.binary()), pa.array([step[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["block", "bucket", "keys", "counts"])
 
     def order(key, docs, told):
+        give_back()
         replies = told.filter(pc.is_valid(told.column("bucket")))
         vids, sets = _block(docs, named(told.filter(pc.is_null(told.column("bucket")))), size)
         out: dict[str, list] = {c: [] for c in ("vid", "n", "unique", "k1", "k2", "k", "tokens")}

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidloom.llm.byte_automaton import Combined, backward, parsed
+from evidloom.llm.common import giving_back
 
 
 @dataclass(frozen=True)
@@ -185,7 +186,7 @@ def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = BASE
                 columns[at] = pa.array(new, texts.type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, span)], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(None).cast(SPAN).alias(name)).schema)
+    return docs.mapInArrow(giving_back(run), docs.select("*", F.lit(None).cast(SPAN).alias(name)).schema)
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id", name: str = "secrets", base: tuple[str, ...] = tuple(r.kind for r in BASE)) -> DataFrame:

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import text_of
+from evidloom.llm.common import giving_back
 
 GRAM = 6
 #: Defaults of ``train``: labelled texts of each class that are trained on at most, and the longest one, in bytes.
@@ -39,7 +39,8 @@ PASSAGE = b". the window is: "
 GAINS = (1, 2, 3, 4, 5, 6, 7, 8)
 #: Longer words are cut into pieces of this many bytes, so that windows stay small.
 PIECE = 64
-REMEMBERED = 400_000
+#: Words whose gains a task remembers; above, it starts anew.
+REMEMBERED = 100_000
 
 
 def words(text: str) -> list[bytes]:
@@ -238,4 +239,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "to
             x = np.array([scorer.features(t.as_py() or "") for t in batch.column(at)], float).reshape(-1, len(GAINS) + 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_probability(x, weights), pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(name)).schema)
+    return docs.mapInArrow(giving_back(run), docs.select("*", F.lit(0.0).alias(name)).schema)

@@ -5,8 +5,9 @@ import struct
 import corpus_pipeline
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
-from evidloom.llm import secrets, toxicity
+from evidloom.llm import common, secrets, toxicity
 from evidloom.llm.common import table
 from pyspark.sql import functions as F
 from test_jaccard_join import brute
@@ -74,3 +75,20 @@ def test_clashing_columns(spark):
         docs = spark.createDataFrame(found, docs.schema)
     assert {r.text for r in found} <= {"a [assign] of some kind", "the same words in both of these texts", "", None}
     assert corpus_pipeline.STAGES[-1][1](spark, docs, D).count() == len(found)
+
+
+def test_workers_keep_little_between_stages(spark):
+    """Workers live from stage to stage: batches are bounded in bytes, and no task's memory of chunks stays behind."""
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat(concat(uuid(), ' '), 1000) as text", "'en' as lang", "'s' as source", "0L as n_chars")
+    corpus_pipeline.STAGES[-1][1](spark, docs.coalesce(4), D).write.format("noop").mode("overwrite").save()
+
+    def told(batches):
+        from evidloom.llm import bpe_codec
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"held": [sum(c.held for c in bpe_codec._CODEC.values())], "bytes": [b.nbytes]})
+
+    rows = docs.coalesce(1).mapInArrow(told, "held long, bytes long").collect()
+    assert len(rows) > 3 and max(r.bytes for r in rows) < 2 * common.BATCH_BYTES
+    held = spark.range(64).repartition(8).mapInArrow(told, "held long, bytes long").collect()
+    assert not any(r.held for r in rows + held)

@@ -24,13 +24,13 @@ def transcript_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as session files, read through their data source as at a start."""
+    """Conversations as sessions in files of lines, read through their data source as at a start."""
     path = copies._folder(spark)
     message = F.struct("turn", "role", F.col("text").alias("message"), F.lit(None).cast("string").alias("timestamp"))
     own = copies.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("all"))
     messages = F.transform("all", lambda m: F.struct(m["role"].alias("role"), m["message"].alias("message"), m["timestamp"].alias("timestamp")))
     status = F.when(F.col("conv_id") % 7 == 0, "FAILED").otherwise("Evaluating")
-    writers.save_sessions(own.select(F.concat(F.lit("CH-"), "conv_id").alias("chat_id"), text.session_name(F.col("all")[0]["message"]).alias("chat_name"), status.alias("status"), messages.alias("messages"), F.size("all").alias("messages_count"), F.lit(0).alias("retry_count")), path)
+    writers.save_session_lines(own.select(F.concat(F.lit("CH-"), "conv_id").alias("chat_id"), text.session_name(F.col("all")[0]["message"]).alias("chat_name"), status.alias("status"), messages.alias("messages"), F.size("all").alias("messages_count"), F.lit(0).alias("retry_count")), path)
     folders.register(spark)
     again = session_rows.reset(spark.read.format("evidence_sessions").load(path).filter("fault is null"))
     return again.select("chat_id", "chat_name", "status", "messages_count", F.size("messages").alias("n"), F.col("messages")[0]["role"].alias("first_role"))

@@ -180,16 +180,23 @@ class Registry(Files):
 
 
 class Sessions(Files):
-    """One row for each session file; one without an id is a fault."""
+    """One row for each session of the files, each a session or one in each line; a file with one without an id is a fault."""
 
     DDL = f"{readers.SESSION}, file string, fault string"
 
     @staticmethod
     def rows(path, size, mtime, read):
-        found = json.loads(read())
-        if found["chat_id"] is None:
-            raise KeyError("chat_id")
-        yield found
+        data = read()
+        try:
+            records = [json.loads(data)]
+        except json.JSONDecodeError:
+            records = [json.loads(line) for line in data.split(b"\n") if line.strip()]
+            if not records:
+                raise
+        for found in records:
+            if found["chat_id"] is None:
+                raise KeyError("chat_id")
+            yield found
 
 
 class Transcripts(Files):

@@ -49,6 +49,12 @@ def sessions(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("_corrupt_record is null and chat_id is not null").drop("_corrupt_record")
 
 
+def session_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each line of files of sessions; lines that can't be read are left out."""
+    rows = spark.read.schema(f"{SESSION}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+    return rows.filter("_corrupt_record is null and chat_id is not null").drop("_corrupt_record")
+
+
 def session_messages(found: DataFrame) -> DataFrame:
     return found.select("chat_id", F.posexplode("messages").alias("turn", "m")).select("chat_id", "turn", "m.*")
 

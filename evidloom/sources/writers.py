@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a file and bytes of a row group of tables laid out by id.
 FILE_ROWS, GROUP_BYTES = 4_000_000, 16 << 20
+#: Sessions of a file of lines.
+FILE_SESSIONS = 10_000
 
 
 def replaced(df: DataFrame, path: str) -> str:
@@ -65,6 +67,11 @@ def save_sessions(found: DataFrame, path: str) -> None:
     found.withColumn("part", F.col("chat_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").json(path)
 
 
+def save_session_lines(found: DataFrame, path: str) -> None:
+    """Sessions of a table in a new folder, one in each line of files of many; a file for each takes too long for large tables."""
+    found.write.option("maxRecordsPerFile", FILE_SESSIONS).json(path)
+
+
 def save_transcripts(segments: DataFrame, path: str) -> None:
     """Segments (asset, language, duration, start, end, segment_id, text) as one file for each asset, times to two places."""
     one = F.struct("segment_id", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), F.trim("text").alias("text"))

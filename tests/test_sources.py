@@ -2,7 +2,8 @@
 
 import json
 
-from evidloom.sources import readers, writers
+from evidloom.plans import copies, shapes
+from evidloom.sources import folders, readers, writers
 from evidloom.streaming import assets
 from pyspark.sql import functions as F
 
@@ -85,3 +86,22 @@ def test_stream(spark, tmp_path):
     assert sorted(x[1:] for x in done) == [("a0", "Ready"), ("a1", "Ready"), ("a2", "Ready")] and len({x[0] for x in done}) == 3
     events = spark.createDataFrame([("2024-01-01 00:10:00", "x"), ("2024-01-01 05:00:00", "x"), ("2024-01-02 01:00:00", "y")], "ts string, event_type string")
     assert sorted(r.n for r in assets.windowed_counts(events).collect()) == [1, 2]
+
+
+def test_many_sessions_in_a_file(spark, tmp_path, monkeypatch):
+    """Sessions of a table are lines of few files, whatever their texts hold, and both queries read them all back."""
+    texts = ["a\nb\r\nc", "x y\u0085z", "\x0b\x0c\x1c", '"{', "", None]
+    rows = [(f"c{i}", "Idle", [("user", texts[i % 6], None)]) for i in range(600)]
+    found = spark.createDataFrame(rows, "chat_id string, status string, messages array<struct<role:string,message:string,timestamp:string>>")
+    writers.save_session_lines(found.coalesce(2), str(tmp_path / "few"))
+    assert len(list((tmp_path / "few").rglob("*.json"))) == 2
+    folders.register(spark)
+    for back in (readers.session_lines(spark, str(tmp_path / "few")), spark.read.format("evidence_sessions").load(str(tmp_path / "few")).filter("fault is null")):
+        assert sorted((r.chat_id, r.messages[0].message) for r in back.collect()) == sorted((c, m[0][1]) for c, _, m in rows)
+    conversations = spark.range(900).selectExpr("id div 3 as conv_id", "cast(id % 3 as int) as turn", "'user' as role", "concat('t', id) as text")
+    conversations.coalesce(1).write.parquet(str(tmp_path / "in/conversations.parquet"))
+    for query in (copies.session_copy, shapes.session_scan):
+        monkeypatch.setattr(copies, "_folder", lambda spark: str(tmp_path / query.__name__))
+        found = query(spark, str(tmp_path / "in")).collect()
+        assert len(found) == 300 and {r.n for r in found} == {3} and sum(r.status == "FAILED" for r in found) == 43
+        assert len(list((tmp_path / query.__name__).rglob("*.json"))) < 30
